@@ -5,12 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.llm.canonical_map import map_values
 from postloom.llm.leak import leaked_items
+from postloom.llm.name_link import link_names, name_pairs
 from postloom.llm.near_dup import expand_copies, similar_pairs
 from postloom.operators.graph import connected_components
+from postloom.operators.lineage import written
 from postloom.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed places that each place field names, -1 for a field that names none."""
+    fields = [("posting", "posting", "posting_id", "location_raw"), ("greenhouse", "greenhouse_job", "item_id", "location_name"), ("lever", "lever_posting", "item_id", "categories_location")]
+    rows = None
+    for origin, t, key, field in fields:
+        x = table(spark, sf_dir, t).select(F.lit(origin).alias("origin"), F.col(key).alias("record_id"), F.col(field).alias("text"))
+        rows = x if rows is None else rows.union(x)
+    ref = table(spark, sf_dir, "location_ref").select(
+        F.col("location_id").cast("bigint").alias("entry_id"),
+        F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("names"),
+        "region", "region_code", "country", "country_name",
+    )
+    found = map_values(rows, ref)
+    return rows.join(found, "text").select("origin", "record_id", F.col("entry_id").cast("int").alias("location_id"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different spellings of one employer."""
+    return name_pairs(written(link_names(table(spark, sf_dir, "posting").select(F.col("company_name_raw").alias("name")))))
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling with the class of its employer and the number of other spellings."""
+    x = written(link_names(table(spark, sf_dir, "posting").select(F.col("company_name_raw").alias("name"))))
+    sizes = x.groupBy("class").agg(F.min("name").alias("class_id"), (F.count(F.lit(1)) - 1).alias("n_links"))
+    return x.join(sizes, "class").select("name", "class_id", "n_links")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of postings whose sets of three consecutive words have at least half of their union in common."""
     p = table(spark, sf_dir, "posting").where("trim(description_text) <> ''")
@@ -46,5 +77,5 @@ def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", F.col("item_id").cast("int").alias("item_id")).distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_near": p7_near}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_near": p7_near}
 ORACLE_SQL: dict[str, str] = {}
