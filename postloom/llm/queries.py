@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from postloom.llm.canonical_map import map_values
 from postloom.llm.leak import leaked_items
+from postloom.llm.mixture import mix_sources
 from postloom.llm.name_link import link_names, name_pairs
 from postloom.llm.near_dup import expand_copies, similar_pairs
+from postloom.llm.split_text import split_oversized
 from postloom.operators.graph import connected_components
 from postloom.operators.lineage import written
 from postloom.sources.tables import table
@@ -77,5 +79,22 @@ def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", F.col("item_id").cast("int").alias("item_id")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_near": p7_near}
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture: each record used, how often, and its tokens."""
+    mixture, _ = mix_sources(table(spark, sf_dir, "documents"), "doc_id", "source", F.col("text"), table(spark, sf_dir, "mix_target"))
+    return mixture.select(F.col("id").alias("doc_id"), "source", "shard", "n_tokens", "uses")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source with a target."""
+    return mix_sources(table(spark, sf_dir, "documents"), "doc_id", "source", F.col("text"), table(spark, sf_dir, "mix_target"))[1]
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of each document longer than its limit, in order."""
+    x = split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", table(spark, sf_dir, "split_limit"))
+    return x.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_classes": p6_classes, "p7_found": p7_found, "p7_near": p7_near, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
 ORACLE_SQL: dict[str, str] = {}
