@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from postloom.plans import cleaning
+from postloom.plans import cleaning, serving, texts
 
-MODULES = [cleaning]
-FLAGSHIP = "p4_found"
+MODULES = [serving, texts, cleaning]
+FLAGSHIP = "feed_topk"
 
 
 def queries() -> dict:
