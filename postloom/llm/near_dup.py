@@ -26,8 +26,8 @@ _A = (np.random.default_rng(6).integers(0, 1 << 32, (2, T), dtype=np.uint64)).as
 
 
 def minwise(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """T minwise tokens (16 bits each) of each non-empty set."""
-    out = np.empty((len(offsets) - 1, T), dtype=np.uint16)
+    """T minwise tokens (8 bits each: two different ones look equal once in 256 cases) of each non-empty set."""
+    out = np.empty((len(offsets) - 1, T), dtype=np.uint8)
     at = offsets[:-1]
     for i in range(T):
         x = (sets ^ _A[0, i]) * np.uint32(_A[1, i] | 1)
@@ -35,14 +35,14 @@ def minwise(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         x *= np.uint32(0x2C1B3C6D)
         x ^= x >> np.uint32(13)
         m = np.minimum.reduceat(x, at)
-        out[:, i] = (m * np.uint32(0x9E3779B1)) >> np.uint32(16)
+        out[:, i] = (m * np.uint32(0x9E3779B1)) >> np.uint32(24)
     return out
 
 
 def sketch(sig: np.ndarray) -> np.ndarray:
     """Two bits of each token: two 64-bit words, the low bits and the next ones."""
     bits = lambda b: np.packbits(((sig >> b) & 1).astype(np.uint8), axis=1).view(np.int64).reshape(-1)
-    return np.stack([bits(np.uint16(0)), bits(np.uint16(1))], axis=1)
+    return np.stack([bits(np.uint8(0)), bits(np.uint8(1))], axis=1)
 
 
 def _features(k: int, with_sets: bool):
@@ -63,7 +63,7 @@ def _features(k: int, with_sets: bool):
                 x = mix(sets.astype(np.uint64) + np.uint64(0x51ED270B))
                 y = mix(x + np.uint64(0xA24BAED4963EE407))
                 fp = [np.add.reduceat(v, at[:-1]).view(np.int64) for v in (x, y)]
-                sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * T), len(some), [None, pa.py_buffer(minwise(sets, at).tobytes())])
+                sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(T), len(some), [None, pa.py_buffer(minwise(sets, at).tobytes())])
                 yield pa.RecordBatch.from_arrays([own, pa.array(fp[0]), pa.array(fp[1]), sig.cast(pa.binary())], ["id", "f1", "f2", "sig"])
 
     return run
@@ -82,7 +82,7 @@ def _children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _sigs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, T) if len(column) else np.zeros((0, T), np.uint16)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, T) if len(column) else np.zeros((0, T), np.uint8)
 
 
 def _plant(trees: int, depth: int):
@@ -160,7 +160,7 @@ def _compare(least: int):
     return run
 
 
-def candidate_pairs(sigs: DataFrame, trees: int = 6, leaf: int = 256, start: int = 2, depth: int = 5, least: int = 28) -> DataFrame:
+def candidate_pairs(sigs: DataFrame, trees: int = 4, leaf: int = 256, start: int = 2, depth: int = 5, least: int = 32) -> DataFrame:
     """Distinct ``a < b`` of records that a small node puts together and whose sketches are close.
 
     ``sigs``: ``id, sig``. ``least`` of 64 positions must agree in two bits; a pair of similarity 0.5 is expected at 40 with a deviation of 3.9.
@@ -236,7 +236,7 @@ def _in_blocks(large: DataFrame, leaf: int) -> DataFrame:
 
 
 def similar_pairs(
-    df: DataFrame, id_col: str, text: "F.Column", k: int = 5, similarity: tuple[int, int] = (4, 5), trees: int = 6, leaf: int = 256, least: int | None = None
+    df: DataFrame, id_col: str, text: "F.Column", k: int = 5, similarity: tuple[int, int] = (4, 5), trees: int = 4, leaf: int = 256, least: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs ``a < b`` of representatives, members ``rep, id``): sets of k-word shingles with similarity of at least num/den.
 
@@ -245,9 +245,9 @@ def similar_pairs(
     Pairs are exact (verified on whole sets of 32-bit shingle hashes); what the trees may miss is measured in the tests.
     """
     num, den = similarity
-    if least is None:  # mean agreement at the threshold less three deviations
+    if least is None:  # mean agreement at the threshold less two deviations: keeps 98 % there, all but all a little above
         p = num / den + (1 - num / den) / 4
-        least = int(T * p - 3 * (T * p * (1 - p)) ** 0.5)
+        least = round(T * p - 2.1 * (T * p * (1 - p)) ** 0.5)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     feats = written(rows.mapInArrow(_features(k, False), "id bigint, f1 bigint, f2 bigint, sig binary"))
     reps = feats.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
