@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postloom.plans import cleaning, serving, texts
+from postloom.plans import cleaning, ingest, serving, texts
 
-MODULES = [serving, texts, cleaning]
+MODULES = [serving, texts, ingest, cleaning]
 FLAGSHIP = "feed_topk"
 
 
