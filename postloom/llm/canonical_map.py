@@ -54,8 +54,10 @@ def tokens(text: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def most_edits(n: int) -> int:
-    """Edits allowed in a token of the vocabulary by its length."""
+def most_edits(n: int, longer: bool = False) -> int:
+    """Edits allowed in a token of the vocabulary by its length; ``longer``: it is part of a name of several tokens, which the others confirm."""
+    if longer:
+        return 0 if n < 4 else 1 if n < 6 else 2
     return 0 if n < 5 else 1 if n < 8 else 2
 
 
@@ -105,7 +107,7 @@ def _typed_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for t, dot in zip(pdf["token"], pdf["dot"], strict=True):
-            rows += [(t, dot, k) for k in deletions(t, most_edits(len(t) + 1))]
+            rows += [(t, dot, k) for k in deletions(t, most_edits(len(t) + 1, True))]
             if dot and len(t) >= 4:
                 rows.append((t, dot, f"{t}."))
         yield pd.DataFrame(rows, columns=["token", "dot", "key"]).astype({"dot": "bool"})
@@ -114,32 +116,35 @@ def _typed_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _vocabulary_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for w in pdf["word"]:
-            rows += [(w, k) for k in deletions(w, most_edits(len(w)))]
-            rows += [(w, f"{w[:n]}.") for n in range(4, len(w))]
-        yield pd.DataFrame(rows, columns=["word", "key"])
+        for w, longer in zip(pdf["word"], pdf["longer"], strict=True):
+            rows += [(w, longer, k) for k in deletions(w, most_edits(len(w), longer))]
+            rows += [(w, longer, f"{w[:n]}.") for n in range(4, len(w))]
+        yield pd.DataFrame(rows, columns=["word", "longer", "key"]).astype({"longer": "bool"})
 
 
 def _similarity(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        sims = []
-        for t, w, dot in zip(pdf["token"], pdf["word"], pdf["dot"], strict=True):
-            k = most_edits(len(w))
+        sims, edits = [], []
+        for t, w, dot, longer in zip(pdf["token"], pdf["word"], pdf["dot"], pdf["longer"], strict=True):
+            k = most_edits(len(w), longer)
             d = 0 if t == w else osa(t, w, k)
             s = 1 - d / len(w) if d <= k else 0.0
-            sims.append(max(s, 0.9) if dot and len(t) >= 4 and w.startswith(t) else s)
-        yield pd.DataFrame({"token": pdf["token"], "dot": pdf["dot"], "word": pdf["word"], "sim": sims}).query("sim > 0")
+            short = dot and len(t) >= 4 and w.startswith(t) and t != w
+            sims.append(max(s, 0.9) if short else s)
+            edits.append(0 if short else d)
+        out = pd.DataFrame({"token": pdf["token"], "dot": pdf["dot"], "word": pdf["word"], "sim": sims, "edits": edits}).query("sim > 0")
+        yield out.astype({"edits": "int32"})
 
 
 def repair_tokens(typed: DataFrame, words: DataFrame) -> DataFrame:
-    """``token, dot, word, sim``: each distinct typed token with every word of the vocabulary within its edit distance.
+    """``token, dot, word, sim, edits``: each distinct typed token with every word of the vocabulary within its edit distance.
 
-    ``typed``: ``token, dot`` (a dot follows: the token may be the start of a word); ``words``: ``word``. An equi-join on deletions; short words must be equal.
+    ``typed``: ``token, dot`` (a dot follows: the token may be the start of a word); ``words``: ``word, longer``. An equi-join on deletions; short words must be equal.
     """
     a = typed.distinct().mapInPandas(_typed_keys, "token string, dot boolean, key string")
-    b = words.distinct().mapInPandas(_vocabulary_keys, "word string, key string")
-    pairs = a.join(b, "key").select("token", "dot", "word").distinct()
-    return pairs.mapInPandas(_similarity, "token string, dot boolean, word string, sim double")
+    b = words.groupBy("word").agg(F.bool_or("longer").alias("longer")).mapInPandas(_vocabulary_keys, "word string, longer boolean, key string")
+    pairs = a.join(b, "key").select("token", "dot", "word", "longer").distinct()
+    return pairs.mapInPandas(_similarity, "token string, dot boolean, word string, sim double, edits int")
 
 
 def _resolver(qualifiers: frozenset[str]):
@@ -218,9 +223,12 @@ def map_values(values: DataFrame, entries: DataFrame, least: float = 0.62) -> Da
     first = names.where("idx = 0 AND n > 1").select("name", "word").distinct().groupBy("word").count().where("count > 1")
     qualifiers = frozenset(r["word"] for r in first.collect())
     toks = texts.mapInPandas(_token_rows, "text string, pos int, token string, dot boolean")
-    fixed = repair_tokens(toks.select("token", "dot"), names.select("word"))
+    fixed = repair_tokens(toks.select("token", "dot"), names.select("word", (F.col("n") > 1).alias("longer")))
     votes = toks.join(fixed, ["token", "dot"]).join(names, "word")
-    votes = votes.groupBy("text", "entry_id", "name", "n", (F.col("pos") - F.col("idx")).alias("start")).agg(F.sum(F.col("idf") * F.col("sim")).alias("s"))
+    size = F.length("word")
+    votes = votes.where((F.col("n") > 1) | (F.col("edits") <= F.when(size < 5, 0).when(size < 8, 1).otherwise(2)))
+    votes = votes.groupBy("text", "entry_id", "name", "n", (F.col("pos") - F.col("idx")).alias("start")).agg(F.sum(F.col("idf") * F.col("sim")).alias("s"), F.sum("edits").alias("edits"))
+    votes = votes.where("edits <= 2")
     votes = votes.join(weight, ["entry_id", "name"]).withColumn("score", F.col("s") / F.col("weight")).where(F.col("score") >= least)
     votes = votes.join(ref.drop("names"), "entry_id")
     found = F.collect_list(F.struct("entry_id", "start", "n", "score", "weight", "region", "region_code", "country", "country_name"))
