@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting to drop the shuffle files of an execution at its end.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -25,11 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: its lineage starts at those files,
 
-    so a lost executor costs only the tasks that ran on it. Files are removed when the process ends.
+    so a lost executor costs only the tasks that ran on it. The shuffle files of the write are removed as soon as it
+    is done, the files themselves when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/postloom-{uuid.uuid4().hex}"
-    (df.repartition(*keys) if keys else df).write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        (df.repartition(*keys) if keys else df).write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
