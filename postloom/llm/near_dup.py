@@ -224,6 +224,23 @@ def _size_runs(leaf: int):
     return run
 
 
+def _agree(least: int):
+    """Candidates whose whole tokens agree in ``least`` positions or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = (_sigs(b.column(2)) == _sigs(b.column(3))).sum(axis=1) >= least
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def refine(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
+    """``pairs`` that the T tokens still allow: narrow rows are joined before the wide sets are."""
+    x = pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("tb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("ta")), "a")
+    return x.select("a", "b", "ta", "tb").mapInArrow(_agree(least), "a bigint, b bigint")
+
+
 def _in_blocks(large: DataFrame, leaf: int) -> DataFrame:
     """Rows of oversized nodes keyed by pairs of blocks: every two records of a node meet under exactly one key."""
     sizes = large.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
@@ -253,8 +270,10 @@ def similar_pairs(
     reps = feats.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
     members = feats.select("id", "f1", "f2").join(reps, ["f1", "f2"]).select("rep", "id")
     members = written(members)
-    sigs = feats.join(members.where("rep = id").select("id"), "id", "left_semi").select("id", "sig")
-    cand = written(candidate_pairs(sigs, trees, leaf, least=least))
+    sigs = written(feats.join(members.where("rep = id").select("id"), "id", "left_semi").select("id", "sig"))
+    p = num / den + (1 - num / den) / 256
+    whole = round(T * p - 2.5 * (T * p * (1 - p)) ** 0.5)
+    cand = written(refine(written(candidate_pairs(sigs, trees, leaf, least=least)), sigs, whole))
     sets = rows.mapInArrow(_features(k, True), "id bigint, shingles array<int>")
     x = cand.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     x = x.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
