@@ -142,7 +142,7 @@ def percentile_ladder(df: DataFrame, value: str, ladders: list[list[str]], least
         ok = (n >= least) & F.col(value).isNotNull()
         for k in keys:
             ok = ok & F.col(k).isNotNull()
-        p = F.cume_dist().over(w.orderBy(value))
+        p = F.count(value).over(w.orderBy(value)) / n  # peers at or below; NULL values are no peers
         pct = F.when(ok, p) if pct is None else pct.when(ok, p)
         lvl = F.when(ok, i) if lvl is None else lvl.when(ok, i)
     return df.withColumn("percentile", pct).withColumn("level", lvl)
