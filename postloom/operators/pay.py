@@ -48,7 +48,7 @@ _PER = [(c, re.compile(p, re.I)) for c, p in PERIOD]
 _NUM = r"(?:\d{1,3}(?:,\d{2,3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
 _AMOUNT = re.compile(rf"(?P<n>{_NUM}|\d{{1,3}}(?:\.\d{{3}})+)\s*(?P<m>lpa\b|lakhs?\b|lacs?\b|l\b|crores?\b|cr\b|k\b|thousand\b|mn\b|million\b|'000)?", re.I)
 _SCALE = {"lpa": 10**5, "lakh": 10**5, "lac": 10**5, "l": 10**5, "crore": 10**7, "cr": 10**7, "k": 10**3, "thousand": 10**3, "mn": 10**6, "million": 10**6, "'000": 10**3}
-_LUMP = re.compile(r"(?:lump sum|one[- ]time|total|covers|covering)[^\d]{0,20}(\d{1,2})\s*months?", re.I)
+_LUMP = re.compile(r"(?:lump sum|one[- ]time|total|covers|covering)[^\d]{0,20}(\d{1,2})[\s-]*months?", re.I)
 _NOISE = re.compile(
     r"\d+(?:\.\d+)?\s*%(?:\s*[–—-]\s*\d+(?:\.\d+)?\s*%)?(?:\s*(?:bonus|equity))?|\(?\d+\s*(?:[-–—+]|to)?\s*\d*\+?\s*(?:years?|yrs?|weeks?|months?|days?|hours?)\b(?:\s+of\s+\w+)?\)?|\(\d{4}\)",
     re.I,

@@ -22,6 +22,7 @@ CASES = [  # text -> low, high in units, currency, period, months
     ("9,00,000 inr per annum", 900_000, 900_000, "INR", "year", 0),
     ("Compensation - AUD 22K lump sum for 2 months", 22_000, 22_000, "AUD", None, 2),
     ("$ 30.6 K (one-time, covers 6 months)", 30_600, 30_600, "USD", None, 6),
+    ("CTC 200 thousand INR total for the 2-month internship (fixed) + ESOPs", 200_000, 200_000, "INR", None, 2),
     ("130.000 — 195.000", 130_000, 195_000, None, None, 0),
     ("€5.200 p.m. • Multiple Ranges", 5_200, 5_200, "EUR", "month", 0),
     ("¥8100 K per annum", 8_100_000, 8_100_000, "JPY", "year", 0),
