@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.similarity import hamming
-from postloom.functions.text import squeeze, words
+from postloom.functions.text import squeeze
 from postloom.operators.graph import connected_components
 
+_TOKENS = re.compile(r"[a-z0-9]+")
 # Paragraphs of legal text that every employer has.
 GLOBAL_BOILERPLATE = [
     r"(?i)equal opportunity employer",
@@ -71,20 +78,29 @@ def strip_boilerplate(df: DataFrame, owner: str, doc: str, text: str, learned: D
     return df.select(doc).join(kept, doc, "left").select(doc, F.coalesce("stripped", F.lit("")).alias("stripped"))
 
 
+def simhash_of(text: str | None, k: int = 5) -> int:
+    """Signed 64-bit SimHash: shingles of k tokens vote with their frequency, ones win with more than half of the votes."""
+    w = _TOKENS.findall((text or "").lower())
+    if not w:
+        return 0
+    sh = Counter(" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
+    h = np.frombuffer(b"".join(hashlib.sha256(s.encode()).digest()[:8] for s in sh), dtype=np.uint8).reshape(-1, 8)
+    n = np.fromiter(sh.values(), dtype=np.int64, count=len(sh))
+    ones = n @ np.unpackbits(h, axis=1)
+    return int(np.packbits(ones * 2 > n.sum()).view(">i8")[0])
+
+
 def simhash(df: DataFrame, doc: str, text: str, k: int = 5) -> DataFrame:
     """``doc, simhash``: 64-bit SimHash over k-token shingles weighted by frequency; fewer tokens are one shingle, none gives 0.
 
-    Bits vote in 64 conditional sums of one aggregation, reduced on the map side.
+    One pass in Arrow batches without a shuffle: exploding shingles into 64 conditional sums moves and evaluates far more.
     """
-    w = words(F.coalesce(F.col(text), F.lit("")))
-    sh = F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
-    )
-    x = df.select(doc, F.explode_outer(sh).alias("s")).withColumn("h", F.conv(F.substring(F.sha2("s", 256), 1, 16), 16, -10).cast("bigint"))
-    votes = [F.sum(F.when(F.getbit("h", F.lit(b)) == 1, 1).otherwise(-1)).alias(f"b{b}") for b in range(64)]
-    agg = x.groupBy(doc).agg(F.count("s").alias("n"), *votes)
-    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for b in range(64)])
-    return agg.select(doc, F.when(F.col("n") == 0, F.lit(0).cast("bigint")).otherwise(bits).alias("simhash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([simhash_of(t, k) for t in b.column(1).to_pylist()], pa.int64())], [doc, "simhash"])
+
+    return df.select(doc, text).mapInArrow(run, f"{doc} {dict(df.dtypes)[doc]}, simhash bigint")
 
 
 def close_simhashes(df: DataFrame, doc: str, most: int = 3) -> DataFrame:

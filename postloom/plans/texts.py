@@ -11,7 +11,7 @@ from postloom.functions.url import FRAGMENT_HOSTS, SESSION, TRACKING, canonical_
 from postloom.operators import dedup as D
 from postloom.operators import relational as R
 from postloom.operators.rules import Family, classify, extract_terms, resolve_aliases, seniority, SENIORITY
-from postloom.sources.tables import table
+from postloom.sources.tables import spread_table, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -290,12 +290,12 @@ def strip_boilerplate(spark, d):
 
 @query(None)
 def simhash64(spark, d):
-    return D.simhash(table(spark, d, "posting"), "posting_id", "description_text")
+    return D.simhash(spread_table(spark, d, "posting", "posting_id", "description_text"), "posting_id", "description_text")
 
 
 @query(None)
 def simhash_pairs(spark, d):
-    return D.close_simhashes(D.simhash(table(spark, d, "posting"), "posting_id", "description_text"), "posting_id")
+    return D.close_simhashes(D.simhash(spread_table(spark, d, "posting", "posting_id", "description_text"), "posting_id", "description_text"), "posting_id")
 
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE jaro_winkler_similarity(a.p_name, b.p_name) >= 0.85")
