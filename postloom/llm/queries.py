@@ -13,7 +13,7 @@ from postloom.llm.near_dup import expand_copies, similar_pairs
 from postloom.llm.split_text import split_oversized
 from postloom.operators.graph import connected_components
 from postloom.operators.lineage import written
-from postloom.sources.tables import table
+from postloom.sources.tables import spread_table, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of postings whose sets of three consecutive words have at least half of their union in common."""
-    p = table(spark, sf_dir, "posting").where("trim(description_text) <> ''")
+    p = spread_table(spark, sf_dir, "posting", "posting_id", "title_raw", "description_text").where("trim(description_text) <> ''")
     text = F.concat_ws(" ", F.coalesce("title_raw", F.lit("")), "description_text")
     pairs, members = similar_pairs(p, "posting_id", text, k=3, similarity=(1, 2))
     x = expand_copies(pairs, members)
@@ -55,7 +55,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each posting with its class of near-duplicates at five words and 0.8, and the number of its direct links."""
-    p = table(spark, sf_dir, "posting").where("trim(description_text) <> ''")
+    p = spread_table(spark, sf_dir, "posting", "posting_id", "title_raw", "description_text").where("trim(description_text) <> ''")
     text = F.concat_ws(" ", F.coalesce("title_raw", F.lit("")), "description_text")
     pairs, members = similar_pairs(p, "posting_id", text, k=5, similarity=(4, 5))
     pairs = pairs.select("a", "b")
@@ -69,30 +69,30 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 12 consecutive words of a held-out item, unedited."""
-    x = leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "golden_item"), "item_id", "body")
+    x = leaked_items(spread_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", table(spark, sf_dir, "golden_item"), "item_id", "body")
     return x.select("doc_id", F.col("item_id").cast("int").alias("item_id")).distinct()
 
 
 def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of 24 words of an item with at most three word edits."""
-    x = leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "golden_item"), "item_id", "body", width=24, max_edits=3, walks=3, places=5)
+    x = leaked_items(spread_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", table(spark, sf_dir, "golden_item"), "item_id", "body", width=24, max_edits=3, walks=3, places=5)
     return x.select("doc_id", F.col("item_id").cast("int").alias("item_id")).distinct()
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture: each record used, how often, and its tokens."""
-    mixture, _ = mix_sources(table(spark, sf_dir, "documents"), "doc_id", "source", F.col("text"), table(spark, sf_dir, "mix_target"))
+    mixture, _ = mix_sources(spread_table(spark, sf_dir, "documents", "doc_id", "source", "text"), "doc_id", "source", F.col("text"), table(spark, sf_dir, "mix_target"))
     return mixture.select(F.col("id").alias("doc_id"), "source", "shard", "n_tokens", "uses")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source with a target."""
-    return mix_sources(table(spark, sf_dir, "documents"), "doc_id", "source", F.col("text"), table(spark, sf_dir, "mix_target"))[1]
+    return mix_sources(spread_table(spark, sf_dir, "documents", "doc_id", "source", "text"), "doc_id", "source", F.col("text"), table(spark, sf_dir, "mix_target"))[1]
 
 
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of each document longer than its limit, in order."""
-    x = split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", table(spark, sf_dir, "split_limit"))
+    x = split_oversized(spread_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang", table(spark, sf_dir, "split_limit"))
     return x.withColumnRenamed("id", "doc_id")
 
 
