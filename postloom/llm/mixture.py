@@ -121,8 +121,8 @@ def mix_sources(
         "source string, target_share double, max_repeats int, n_docs bigint, available_tokens bigint, quota_tokens bigint",
     )
     x = stated.join(used, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
-    total_used = used.agg(F.sum("mixed_tokens").alias("_all"))
-    x = x.join(F.broadcast(total_used), how="cross")  # one row: the total
+    # over one row per target
+    x = x.withColumn("_all", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0))))
     shares_out = x.select(
         "source", "target_share", "max_repeats", "n_docs", "available_tokens", "quota_tokens", "mixed_tokens",
         F.round(F.coalesce(F.col("mixed_tokens") / F.col("_all"), F.lit(0.0)), 6).alias("actual_share"), F.coalesce("largest_use", F.lit(0)).alias("largest_use"),

@@ -167,8 +167,8 @@ def split_oversized(docs: DataFrame, id_col: str, text: str, lang: str, limits:
     lim = limits.select(F.col("lang").alias("_l"), F.col("max_tokens").cast("int").alias("_m"), F.col("overlap_tokens").cast("int").alias("_o")).dropDuplicates(["_l"])
     x = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), F.coalesce(lang, F.lit(fallback)).alias("_lang"))
     x = x.join(lim, F.col("_lang") == F.col("_l"), "left")
-    rest = lim.where(F.col("_l") == fallback).select(F.col("_m").alias("_fm"), F.col("_o").alias("_fo"))
-    x = x.join(F.broadcast(rest.limit(1)), how="cross")  # one row: the fallback
-    x = x.select("id", "text", F.coalesce("_m", "_fm").alias("m"), F.coalesce("_o", "_fo").alias("o")).where("text <> '' AND m IS NOT NULL AND octet_length(text) > m")
+    rest = lim.where(F.col("_l") == fallback).first()
+    most, over = (F.lit(rest[c] if rest else None).cast("int") for c in ("_m", "_o"))
+    x = x.select("id", "text", F.coalesce("_m", most).alias("m"), F.coalesce("_o", over, F.lit(0)).alias("o")).where("text <> '' AND m IS NOT NULL AND octet_length(text) > m")
     schema = "id bigint, piece_no int, start_char bigint, core_start bigint, end_char bigint, n_tokens int, piece string"
     return x.mapInArrow(_splitter(vocabulary, True), schema)
