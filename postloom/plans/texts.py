@@ -319,7 +319,7 @@ def representative_pick(spark, d):
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-@query(f"SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 4) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 10")
+@query(f"SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 4) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id)::INTEGER AS rank FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 10")
 def cosine_topk(spark, d):
     e = table(spark, d, "embeddings")
     return R.cosine_topk(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 10).withColumn("similarity", F.round("similarity", 4))
@@ -356,7 +356,7 @@ def _count_sql(f: str, t: str) -> str:
 
 
 @query(
-    f"SELECT posting_id, round(1.0 * {_count_sql(_T1, 'engineer')} + 1.0 * {_count_sql(_T1, 'kubernetes')} + 1.0 * {_count_sql(_T1, 'postgres')} + 0.2 * {_count_sql(_D1, 'engineer')} + 0.2 * {_count_sql(_D1, 'kubernetes')} + 0.2 * {_count_sql(_D1, 'postgres')}, 4) AS score FROM posting"
+    f"SELECT posting_id, round(1.0 * {_count_sql(_T1, 'engineer')} + 1.0 * {_count_sql(_T1, 'kubernetes')} + 1.0 * {_count_sql(_T1, 'postgres')} + 0.2 * {_count_sql(_D1, 'engineer')} + 0.2 * {_count_sql(_D1, 'kubernetes')} + 0.2 * {_count_sql(_D1, 'postgres')}, 4)::DOUBLE AS score FROM posting"
     f" WHERE {_has_sql('engineer')} AND ({_has_sql('kubernetes')} OR {_has_sql('postgres')}) AND NOT {_has_sql('on alternate fridays')} ORDER BY score DESC, posting_id LIMIT 50"
 )
 def keyword_search(spark, d):
