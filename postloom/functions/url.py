@@ -37,3 +37,14 @@ def canonical_url(raw: Column) -> Column:
 
 def url_hash(raw: Column) -> Column:
     return F.sha2(canonical_url(raw), 256)
+
+
+# Endings of two labels under which names are registered.
+TWO_LABEL_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "co.in", "org.in", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "com.sg", "co.za", "com.mx", "co.kr"]
+
+
+def registered_domain(url: Column) -> Column:
+    """The name under a public suffix; addresses of numbers and single labels stay. Suffixes beyond the listed ones count as one label."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"\.$", "")
+    n = F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), 3).otherwise(2)
+    return F.when(host.rlike(r"^[0-9.]+$"), host).when(n == 3, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))

@@ -294,3 +294,24 @@ def semantic_bands(pairs: DataFrame, a: str, b: str, merge: float = 0.94, distin
     """``pairs`` with ``similarity`` and ``band``: merge, review or distinct."""
     x = pairs.withColumn("similarity", cosine(F.col(a), F.col(b)))
     return x.withColumn("band", F.when(F.col("similarity") >= merge, "merge").when(F.col("similarity") < distinct, "distinct").otherwise("review"))
+
+
+def against_last_passing(runs: DataFrame, order: str, score: str, gate: float, fall: float = 0.03, keys: list[str] | None = None) -> DataFrame:
+    """``runs`` with ``passed``, the score of the last passing run before, and ``regressed``: more than ``fall`` below it."""
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    x = runs.withColumn("passed", F.col(score) >= gate)
+    x = x.withColumn("last_passing", F.last(F.when(F.col("passed"), F.col(score)), ignorenulls=True).over(w))
+    return x.withColumn("regressed", F.coalesce(F.col("last_passing") - F.col(score) > fall, F.lit(False)))
+
+
+def retry_after(value: Column, now: Column) -> Column:
+    """Moment until which to wait: whole seconds from ``now``, or an HTTP date; NULL for other texts."""
+    s = F.trim(value)
+    secs = F.when(s.rlike(r"^\d{1,9}$"), s.try_cast("int"))
+    date = F.try_to_timestamp(F.regexp_extract(s, r"^[A-Z][a-z]{2}, (\d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    return F.coalesce(now + F.make_dt_interval(secs=secs.cast("decimal(18,6)")), date)
+
+
+def status_action(code: Column) -> Column:
+    """What an HTTP status asks for."""
+    return F.when(code.isin(401, 403), "quarantine").when(code == 404, "not_found").when(code == 429, "rate_limited").otherwise("normal")

@@ -130,3 +130,9 @@ def resolve_aliases(df: DataFrame, text: str, gazetteer: DataFrame) -> DataFrame
     hits = grams.union(d.select("_t", F.lower(F.trim("_t")).alias("gram"))).join(gazetteer, F.col("gram") == F.col("alias"))
     best = hits.groupBy("_t").agg(F.min_by("entry_id", F.struct(-F.length("alias"), F.col("entry_id"))).alias("entry_id"))
     return df.join(best, F.col(text) == F.col("_t"), "left").drop("_t")
+
+
+def tri_state(text: Column, positive: str, negative: str) -> Column:
+    """True, False, or NULL where neither or both patterns stand in the text."""
+    p, n = text.rlike(positive), text.rlike(negative)
+    return F.when(p & ~n, True).when(n & ~p, False)

@@ -294,4 +294,19 @@ def eval_prf1(spark, d):
     return m.withColumn("f1", F.round(F.when(n > 0, 2.0 * F.col("tp") / n).otherwise(0.0), 6))
 
 
+@query(
+    "WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, round(avg(value), 4) AS score FROM events GROUP BY ALL), p AS (SELECT *, score >= 15 AS passed, last_value(CASE WHEN score >= 15 THEN score END IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_passing FROM r)"
+    " SELECT day, score, passed, last_passing, coalesce(last_passing - score > 0.03, false) AS regressed FROM p"
+)
+def eval_regression(spark, d):
+    """Daily scores against the last day that passed the gate."""
+    runs = table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(F.avg("value"), 4).alias("score"))
+    return R.against_last_passing(runs, "day", "score", 15.0)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 600 IN (401, 403) THEN 'quarantine' WHEN event_id % 600 = 404 THEN 'not_found' WHEN event_id % 600 = 429 THEN 'rate_limited' ELSE 'normal' END AS action FROM events")
+def status_actions(spark, d):
+    return table(spark, d, "events").select("event_id", R.status_action(F.col("event_id") % 600).alias("action"))
+
+
 QUERIES, ORACLE_SQL = Q, SQL

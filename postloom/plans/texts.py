@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from postloom.functions import text as X
 from postloom.functions.similarity import cosine, jaro_winkler
-from postloom.functions.url import FRAGMENT_HOSTS, SESSION, TRACKING, canonical_url, url_hash
+from postloom.functions.url import FRAGMENT_HOSTS, SESSION, TRACKING, TWO_LABEL_SUFFIXES, canonical_url, registered_domain, url_hash
 from postloom.operators import dedup as D
 from postloom.operators import relational as R
-from postloom.operators.rules import Family, classify, extract_terms, resolve_aliases, seniority, SENIORITY
+from postloom.operators.rules import Family, classify, extract_terms, resolve_aliases, seniority, SENIORITY, tri_state
 from postloom.sources.tables import spread_table, table
 
 Q: dict = {}
@@ -135,6 +135,25 @@ def slug_and_content_hash(spark, d):
     return table(spark, d, "posting").select("posting_id", X.slug(F.col("company_name_raw")).alias("slug"), F.sha2(F.concat_ws("|", "url", "title_raw", "description_text"), 256).alias("content_hash"))
 
 
+_HOST = "regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\\.$', '')"
+_LABELS = f"string_split({_HOST}, '.')"
+
+
+@query(
+    f"SELECT posting_id, CASE WHEN regexp_matches({_HOST}, '^[0-9.]+$') THEN {_HOST} WHEN array_to_string({_LABELS}[-2:], '.') IN ({', '.join(_q(x) for x in TWO_LABEL_SUFFIXES)}) THEN array_to_string({_LABELS}[-3:], '.') ELSE array_to_string({_LABELS}[-2:], '.') END AS domain FROM posting"
+)
+def url_domain(spark, d):
+    return table(spark, d, "posting").select("posting_id", registered_domain(F.col("url")).alias("domain"))
+
+
+_POS, _NEG = r"(?i)\bmentor\b|\bwelcome\b", r"(?i)\btravel\b|\bon-call\b"
+
+
+@query(f"SELECT posting_id, CASE WHEN regexp_matches(description_text, {_q(_POS)}) AND NOT regexp_matches(description_text, {_q(_NEG)}) THEN true WHEN regexp_matches(description_text, {_q(_NEG)}) AND NOT regexp_matches(description_text, {_q(_POS)}) THEN false END AS state FROM posting")
+def tri_state_signal(spark, d):
+    return table(spark, d, "posting").select("posting_id", tri_state(F.col("description_text"), _POS, _NEG).alias("state"))
+
+
 # --- classification -----------------------------------------------------------------------------------------------------------
 FAMILIES = [
     Family("backend", ("backend engineer", "back[- ]end engineer"), ("software engineer.*backend",), ("backend.*designer",)),

@@ -200,3 +200,16 @@ def test_optional_filters(spark):
     assert R.optional_filters(df, {"id": None}, {"id": None}).count() == 5
     assert R.optional_filters(df, {"id": []}).count() == 0
     assert R.optional_filters(df, {"id": [1, 2]}, {"id": 2}).count() == 1
+
+
+def test_domains_signals_and_waits(spark):
+    from postloom.functions.url import registered_domain
+    from postloom.operators.rules import tri_state
+
+    assert one(spark, registered_domain(F.col("a")), "https://a.b.example/x", "http://x.co.uk", "https://shop.x.co.uk:8080/", "http://10.0.0.1/a", "https://localhost/", None) == ["b.example", "x.co.uk", "x.co.uk", "10.0.0.1", "localhost", None]
+    assert one(spark, tri_state(F.col("a"), "yes", "no"), "yes", "no", "yes no", "", None) == [True, False, None, None, None]
+    now = dt.datetime(2025, 1, 1)
+    df = spark.createDataFrame([("120", now), ("Wed, 01 Jan 2025 01:00:00 GMT", now), ("soon", now), (None, now)], "v string, n timestamp")
+    assert [r[0] for r in df.select(R.retry_after(F.col("v"), F.col("n"))).collect()] == [now + dt.timedelta(seconds=120), dt.datetime(2025, 1, 1, 1), None, None]
+    runs = spark.createDataFrame([(1, 0.9), (2, 0.5), (3, 0.88), (4, 0.95)], "i int, s double")
+    assert [(r["last_passing"], r["regressed"]) for r in R.against_last_passing(runs, "i", "s", 0.8).orderBy("i").collect()] == [(None, False), (0.9, True), (0.9, False), (0.88, False)]
