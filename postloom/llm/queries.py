@@ -59,12 +59,13 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws(" ", F.coalesce("title_raw", F.lit("")), "description_text")
     pairs, members = similar_pairs(p, "posting_id", text, k=5, similarity=(4, 5))
     pairs = pairs.select("a", "b")
-    comp = connected_components(pairs.union(members.select("rep", "rep").distinct()))
+    pairs = written(pairs)  # read by the components and the counts
+    comp = connected_components(pairs)
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
     ends = pairs.union(pairs.select("b", "a")).toDF("rep", "other")
     links = ends.join(sizes.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("linked"))
-    x = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep").join(sizes, "rep").join(links, "rep", "left")
-    return x.select(F.col("id").alias("posting_id"), F.col("component").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    x = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").join(sizes, "rep").join(links, "rep", "left")
+    return x.select(F.col("id").alias("posting_id"), F.coalesce("component", "rep").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
