@@ -1,9 +1,9 @@
 """Mixing sources to target weights (problem 8).
 
-The total is cut into blocks of equal tokens. Sainte-Lague apportionment hands the blocks to the sources, one by one to the
-highest quotient share / (2 n + 1) in effect, no source beyond its records times its repeats; within a source the blocks go to shards of
-bounded size the same way. A shard puts its records in seeded order and takes them until its blocks are full; whole passes come first, so
-repeats differ by at most one within a shard.
+Sainte-Lague apportionment hands the tokens of the total to the sources, one by one to the highest quotient share / (2 n + 1) in
+effect, no source beyond its records times its repeats; within a source the tokens go to shards of bounded size the same way. Nothing is
+floored to larger units, so neither a small source nor a small shard loses its part as the total grows. A shard puts its records in
+seeded order and takes them until its tokens are reached; whole passes come first, so repeats differ by at most one within a shard.
 """
 
 from __future__ import annotations
@@ -64,7 +64,6 @@ def mix_sources(
     text: Column,
     targets: DataFrame,
     total_tokens: int | None = None,
-    blocks: int = 10_000,
     shard_tokens: int = 2_000_000,
     seed: int = 8,
     vocabulary: str = VOCABULARY,
@@ -73,38 +72,36 @@ def mix_sources(
 
     ``targets``: ``source, target_share, max_repeats``, a bounded table. Shares are taken among the sources that have both a target and
     tokens; sources without a target aren't used, targets without records are reported with zero. ``total_tokens`` NULL is
-    the largest total at which every source can fill its share within its repeats. With a larger total the sources at their limit leave their
-    blocks to the others. Records without text have no tokens and aren't used; a NULL source has no target. The driver holds one row per source
+    the largest total at which every source can fill its share within its repeats. With a larger total the sources at their limit leave the
+    rest to the others. Records without text have no tokens and aren't used; a NULL source has no target. The driver holds one row per source
     and shard (tokens / ``shard_tokens`` rows in all). A shard's records (about ``shard_tokens`` tokens) are ordered in one task; a source
     of a third of all rows has a third of all shards.
     """
     t = targets.select(F.col("source").alias("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).dropDuplicates(["source"])
     wanted = docs.join(t.where("target_share > 0 AND max_repeats > 0").select(F.col("source").alias(source)), source, "left_semi")
     counted = written(count_tokens(wanted, [F.col(id_col).alias("id"), F.col(source).alias("source")], text, vocabulary).where("n_tokens > 0"))
-    size = counted.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(1, math.ceil(size / shard_tokens))
-    counted = counted.withColumn("h", F.xxhash64(F.lit(seed), F.col("id").cast("string"))).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    spark = docs.sparkSession
+    avail = {r["source"]: r["n"] for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    # each source has shards by its own size: a shard of a small source is as large as one of a large source
+    shards = spark.createDataFrame([(s, max(1, math.ceil(n / shard_tokens))) for s, n in avail.items()], "source string, shards int")
+    counted = counted.withColumn("h", F.xxhash64(F.lit(seed), F.col("id").cast("string"))).join(F.broadcast(shards), "source")
+    counted = counted.withColumn("shard", F.pmod("h", F.col("shards")).cast("int")).drop("shards")
     have = {(r["source"], r["shard"]): (r["n"], r["c"]) for r in counted.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("c")).collect()}
     goal = {r["source"]: r for r in t.collect()}
-    avail: dict[str, int] = {}
-    for (s, _), (n, _) in have.items():
-        avail[s] = avail.get(s, 0) + n
     shares = {s: Fraction(goal[s]["target_share"]).limit_denominator(10**9) for s in avail}
     if shares:
         whole = sum(shares.values())
         shares = {s: v / whole for s, v in shares.items()}
         limit = {s: avail[s] * goal[s]["max_repeats"] for s in avail}
         total = total_tokens if total_tokens is not None else int(min(limit[s] / shares[s] for s in avail))
-        block = max(1, total // blocks)
-        quota = sainte_lague(shares, total // block, {s: limit[s] // block for s in avail})
+        quota = sainte_lague(shares, total, limit)
     else:
-        block, quota, limit = 1, {}, {}
+        quota = {}
     rows = []
-    for s, seats in quota.items():
+    for s, tokens in quota.items():
         own = {k: n for (x, k), (n, _) in have.items() if x == s}
-        got = sainte_lague({k: Fraction(n) for k, n in own.items()}, seats, {k: n * goal[s]["max_repeats"] // block for k, n in own.items()})
-        rows += [(s, k, q * block, own[k]) for k, q in got.items()]
-    spark = docs.sparkSession
+        got = sainte_lague({k: Fraction(n) for k, n in own.items()}, tokens, {k: n * goal[s]["max_repeats"] for k, n in own.items()})
+        rows += [(s, k, q, own[k]) for k, q in got.items()]
     plan = spark.createDataFrame(rows, "source string, shard int, quota bigint, have bigint")
     x = counted.join(plan.where("quota > 0"), ["source", "shard"])
     order = Window.partitionBy("source", "shard").orderBy("h", "id")
@@ -117,7 +114,7 @@ def mix_sources(
     mixture = x.select("id", "source", "shard", "n_tokens", "uses")
     used = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mixed_tokens"), F.max("uses").alias("largest_use"))
     stated = spark.createDataFrame(
-        [(s, goal[s]["target_share"], goal[s]["max_repeats"], sum(c for (x, _), (_, c) in have.items() if x == s), avail.get(s, 0), quota.get(s, 0) * block) for s in goal],
+        [(s, goal[s]["target_share"], goal[s]["max_repeats"], sum(c for (x, _), (_, c) in have.items() if x == s), avail.get(s, 0), quota.get(s, 0)) for s in goal],
         "source string, target_share double, max_repeats int, n_docs bigint, available_tokens bigint, quota_tokens bigint",
     )
     x = stated.join(used, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))

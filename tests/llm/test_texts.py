@@ -181,6 +181,20 @@ def test_mixture(spark):
     assert mix.count() == 0 and shares.agg(F.sum("mixed_tokens")).first()[0] == 0
 
 
+@needs_vocabulary
+def test_mixture_keeps_small_sources_of_a_large_total(spark):
+    """A ten-thousandth of the total is more than a small source has in a shard, or in all."""
+    rows = [(i, "large", f"word number {i} " * 50) for i in range(3000)] + [(10_000 + i, "small", f"word number {i} " * 4) for i in range(100)] + [(20_000, "tiny", "one word")]
+    docs = spark.createDataFrame(rows, "id bigint, source string, text string")
+    t = spark.createDataFrame([("large", 0.9969, 1), ("small", 0.003, 3), ("tiny", 0.0001, 40)], "source string, target_share double, max_repeats int")
+    for total, shard in ((None, 2000), (None, 2_000_000), (400_000, 2000), (10_000_000, 2000)):
+        s = {r["source"]: r for r in mix_sources(docs, "id", "source", F.col("text"), t, total_tokens=total, shard_tokens=shard)[1].collect()}
+        for k in s:
+            assert s[k]["mixed_tokens"] == pytest.approx(s[k]["quota_tokens"], rel=0.05) and s[k]["mixed_tokens"] > 0, (total, shard, s[k])
+            limit = s[k]["available_tokens"] * s[k]["max_repeats"]
+            assert s[k]["quota_tokens"] == (limit if total == 10_000_000 else pytest.approx(s[k]["target_share"] * sum(r["quota_tokens"] for r in s.values()), abs=1))
+
+
 def test_cores_merge_weakest_first():
     assert cores([3, 3, 3, 3], [1, 9, 1], 6) == [(0, 2), (2, 4)]
     assert cores([3, 3, 3, 3], [9, 1, 9], 6) == [(0, 1), (1, 3), (3, 4)]
