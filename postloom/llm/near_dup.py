@@ -1,16 +1,19 @@
 """Near-duplicate records by the chosen-path set similarity join (problem 6).
 
 A record is the set of its k-word shingles, embedded as T minwise tokens. A tree splits the records: at a node, two of the T positions, chosen
-by a hash of the node's path, each send a record to the child of its token there. A pair of similarity s stays together on a
-path of depth d with a probability that falls only as 1/d for s = 1/2; independent trees raise the recall. Nodes of at most
-``leaf`` records are compared exhaustively on a 128-bit sketch; larger ones branch again; at the last depth they are
-compared in blocks, so no node is ever one task and none is dropped. Candidates are verified on the whole shingle sets.
+by a hash of the node's path, each send a record to the child of its token there. With two positions a pair of similarity 1/2 stays
+together on a path of depth d with a probability that falls with d (0.61 at 2, 0.40 at 5), so nodes that are too large at the first depth branch on
+three positions (of the sketch): from there the probability rises with depth (0.73 at 5), and more or larger nodes cost no recall. Independent trees raise
+it further; over 64 tokens, six find 0.99 of the pairs at 1/2 at depth 2 and 0.97 at depth 5. Nodes of at most ``leaf`` records are compared exhaustively on a 256-bit sketch; larger ones
+branch again; at the last depth they are compared in blocks, so no node is ever one task and none is dropped. Candidates are verified on the
+whole shingle sets. Trees are grown in rounds: only the rows of one round are on disk at a time.
 
 Exact copies are one record: the join runs over one representative per distinct set, copies come back at the end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +25,10 @@ from postloom.llm.wordhash import mix, shingle_sets, text_chunks, word_hashes
 from postloom.operators.lineage import written
 
 T = 64
+#: Bits of each token in the sketch that travels with a record, and the columns of such a row.
+BITS = 4
+_ROW = ["node", "id", *[f"s{i + 1}" for i in range(BITS)]]
+_SCHEMA = ", ".join(f"{c} bigint" for c in _ROW)
 _A = (np.random.default_rng(6).integers(0, 1 << 32, (2, T), dtype=np.uint64)).astype(np.uint32)
 
 
@@ -40,9 +47,14 @@ def minwise(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sketch(sig: np.ndarray) -> np.ndarray:
-    """Two bits of each token: two 64-bit words, the low bits and the next ones."""
+    """``BITS`` bits of each token: a 64-bit word of the low bits, one of the next ones, and so on."""
     bits = lambda b: np.packbits(((sig >> b) & 1).astype(np.uint8), axis=1).view(np.int64).reshape(-1)
-    return np.stack([bits(np.uint8(0)), bits(np.uint8(1))], axis=1)
+    return np.stack([bits(np.uint8(b)) for b in range(BITS)], axis=1)
+
+
+def _tokens(words: list[np.ndarray]) -> np.ndarray:
+    """The T tokens of each sketch, of ``BITS`` bits."""
+    return sum(np.unpackbits(np.ascontiguousarray(w).view(np.uint8).reshape(-1, 8), axis=1) << np.uint8(b) for b, w in enumerate(words))
 
 
 def _features(k: int, with_sets: bool):
@@ -69,55 +81,57 @@ def _features(k: int, with_sets: bool):
     return run
 
 
-def _children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two child nodes of each (node, record); the positions depend on the node's path alone."""
+def _children(node: np.ndarray, sig: np.ndarray, fan: int = 2) -> list[np.ndarray]:
+    """``fan`` (2 or 3) child nodes of each (node, record); the positions depend on the node's path alone."""
     p = mix(node + np.uint64(0x632BE59BD9B4E019))
     one = (p % np.uint64(T)).astype(np.int64)
-    two = (one + 1 + ((p >> np.uint64(32)) % np.uint64(T - 1)).astype(np.int64)) % T
+    step = ((p >> np.uint64(32)) % np.uint64(T - 1)).astype(np.int64)
+    at = [one, (one + 1 + step) % T]
+    if fan == 3:  # one of the T - 2 others
+        at.append((one + 1 + (step + 1 + ((p >> np.uint64(16)) % np.uint64(T - 2)).astype(np.int64)) % (T - 1)) % T)
     row = np.arange(len(node))
-    out = []
-    for pos in (one, two):
-        out.append(mix(p + (pos.astype(np.uint64) << np.uint64(20)) + sig[row, pos].astype(np.uint64) + np.uint64(1)))
-    return out[0], out[1]
+    return [mix(p + (pos.astype(np.uint64) << np.uint64(20)) + sig[row, pos].astype(np.uint64) + np.uint64(1)) for pos in at]
 
 
 def _sigs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, T) if len(column) else np.zeros((0, T), np.uint8)
 
 
-def _plant(trees: int, depth: int):
-    """Rows (node, id, s1, s2) of every tree at ``depth``."""
+def _plant(trees: range, depth: int):
+    """Rows (node, id, s1, s2, ...) of each of ``trees`` at ``depth``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sig = batch.column(0).to_numpy(), _sigs(batch.column(1))
             sk = sketch(sig)
-            for t in range(trees):
+            for t in trees:
                 nodes = [np.full(len(ids), (t + 1) * 0x1000193, dtype=np.uint64)]
                 for _ in range(depth):
                     nodes = [c for n in nodes for c in _children(n, sig)]
                 for n in nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (n.view(np.int64), ids, sk[:, 0], sk[:, 1])], ["node", "id", "s1", "s2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (n.view(np.int64), ids, *sk.T)], _ROW)
 
     return run
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        node, ids, s1, s2 = (batch.column(i).to_numpy() for i in range(4))
-        for c in _children(node.view(np.uint64), _sigs(batch.column(4))):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c.view(np.int64), ids, s1, s2)], ["node", "id", "s1", "s2"])
+        node, *rest = (batch.column(i).to_numpy() for i in range(len(_ROW)))
+        for c in _children(node.view(np.uint64), _tokens(rest[1:]), 3):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c.view(np.int64), *rest)], _ROW)
 
 
-def _compare(least: int):
+def _compare(least: int, sided: bool = False):
     """Pairs within runs of equal keys (rows sorted by key) whose sketches agree in ``least`` positions or more.
 
-    The last run of a batch waits for the next batch. Column 4, if any, is the side of a record in a comparison of two blocks: only
+    The last run of a batch waits for the next batch. The columns after key and id are the sketch. The last column, if ``sided``, is the side of a record in a comparison of two blocks: only
     records of different sides are compared then, or all if the key is of one block.
     """
     even = np.uint64
 
-    def pairs(k: np.ndarray, i: np.ndarray, a: np.ndarray, b: np.ndarray, side: np.ndarray | None):
+    def pairs(k: np.ndarray, i: np.ndarray, *words: np.ndarray):
+        side = words[-1] if sided else None
+        words = words[: len(words) - sided]
         out = []
         d = 1
         live = np.arange(len(k) - 1)
@@ -127,7 +141,9 @@ def _compare(least: int):
             if not len(live):
                 break
             o = live + d
-            differ = (a[live] ^ a[o]) | (b[live] ^ b[o])
+            differ = words[0][live] ^ words[0][o]
+            for w in words[1:]:
+                differ |= w[live] ^ w[o]
             ok = T - np.bitwise_count(differ.view(even)) >= least
             if side is not None:
                 ok &= (side[live] != side[o]) | (side[live] < 0)
@@ -152,32 +168,40 @@ def _compare(least: int):
             cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
             held = [c[cut:] for c in cols]
             done = [c[:cut] for c in cols]
-            if cut and (r := pairs(*done[:4], done[4] if len(done) > 4 else None)) is not None:
+            if cut and (r := pairs(*done)) is not None:
                 yield r
-        if held is not None and len(held[0]) and (r := pairs(*held[:4], held[4] if len(held) > 4 else None)) is not None:
+        if held is not None and len(held[0]) and (r := pairs(*held)) is not None:
             yield r
 
     return run
 
 
-def candidate_pairs(sigs: DataFrame, trees: int = 4, leaf: int = 256, start: int = 2, depth: int = 5, least: int = 32) -> DataFrame:
+def candidate_pairs(sigs: DataFrame, trees: int = 6, leaf: int = 256, start: int = 2, depth: int = 5, least: int = 22, at_once: int = 2) -> DataFrame:
     """Distinct ``a < b`` of records that a small node puts together and whose sketches are close.
 
-    ``sigs``: ``id, sig``. ``least`` of 64 positions must agree in two bits; a pair of similarity 0.5 is expected at 40 with a deviation of 3.9.
+    ``sigs``: ``id, sig``. ``least`` of 64 positions must agree in their bits; a pair of similarity 0.5 is expected at 34 with a deviation of 4.
+    ``at_once`` trees are grown in a round, whose pairs are written before the next.
     """
-    schema = "node bigint, id bigint, s1 bigint, s2 bigint"
-    rows = sigs.mapInArrow(_plant(trees, start), schema)
+    out = None
+    for t in range(0, trees, at_once):
+        x = written(_tree_pairs(sigs, range(t, min(t + at_once, trees)), leaf, start, depth, least))
+        out = x if out is None else out.union(x)
+    return out.distinct()
+
+
+def _tree_pairs(sigs: DataFrame, trees: range, leaf: int, start: int, depth: int, least: int) -> DataFrame:
+    rows = sigs.mapInArrow(_plant(trees, start), _SCHEMA)
     found = []
     for level in range(start, depth + 1):
         sized = rows.repartition("node").sortWithinPartitions("node")
-        sized = sized.mapInArrow(_size_runs(leaf), schema + ", n bigint")
-        small = sized.where("n = 0").select("node", "id", "s1", "s2")
+        sized = sized.mapInArrow(_size_runs(leaf), _SCHEMA + ", n bigint")
+        small = sized.where("n = 0").select(*_ROW)
         found.append(small.mapInArrow(_compare(least), "a bigint, b bigint"))
         large = sized.where("n > 0")
         if level < depth:
-            rows = large.join(sigs, "id").select("node", "id", "s1", "s2", "sig").mapInArrow(_branch, schema)
+            rows = large.select(*_ROW).mapInArrow(_branch, _SCHEMA)
         else:
-            found.append(_in_blocks(large, leaf).mapInArrow(_compare(least), "a bigint, b bigint"))
+            found.append(_in_blocks(large, leaf).mapInArrow(_compare(least, True), "a bigint, b bigint"))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
@@ -201,10 +225,10 @@ def _size_runs(leaf: int):
                 n[cols[0] == flood[0]] = leaf + 1
             keep = n > 1
             n = np.where(n > leaf, n, 0)
-            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in [*cols, n]], ["node", "id", "s1", "s2", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in [*cols, n]], [*_ROW, "n"])
 
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(4)]
+            cols = [batch.column(i).to_numpy() for i in range(len(_ROW))]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             if not len(cols[0]):
@@ -246,14 +270,14 @@ def _in_blocks(large: DataFrame, leaf: int) -> DataFrame:
     sizes = large.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
     x = large.join(sizes, "node").withColumn("k", F.ceil(F.col("m") / leaf).cast("int"))
     x = x.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    x = x.select("node", "id", "s1", "s2", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    x = x.select(*_ROW, "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     key = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
     side = F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    return x.select(key.alias("node"), "id", "s1", "s2", side.cast("bigint").alias("side")).repartition("node").sortWithinPartitions("node")
+    return x.select(key.alias("node"), *_ROW[1:], side.cast("bigint").alias("side")).repartition("node").sortWithinPartitions("node")
 
 
 def similar_pairs(
-    df: DataFrame, id_col: str, text: "F.Column", k: int = 5, similarity: tuple[int, int] = (4, 5), trees: int = 4, leaf: int = 256, least: int | None = None
+    df: DataFrame, id_col: str, text: "F.Column", k: int = 5, similarity: tuple[int, int] = (4, 5), trees: int = 6, leaf: int = 256, least: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs ``a < b`` of representatives, members ``rep, id``): sets of k-word shingles with similarity of at least num/den.
 
@@ -262,9 +286,9 @@ def similar_pairs(
     Pairs are exact (verified on whole sets of 32-bit shingle hashes); what the trees may miss is measured in the tests.
     """
     num, den = similarity
-    if least is None:  # mean agreement at the threshold less two deviations: keeps 98 % there, all but all a little above
-        p = num / den + (1 - num / den) / 4
-        least = round(T * p - 2.1 * (T * p * (1 - p)) ** 0.5)
+    if least is None:  # mean agreement at the threshold less three deviations: keeps 99.8 % there
+        p = num / den + (1 - num / den) / 2**BITS
+        least = math.floor(T * p - 3 * (T * p * (1 - p)) ** 0.5)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     feats = written(rows.mapInArrow(_features(k, False), "id bigint, f1 bigint, f2 bigint, sig binary"))
     reps = feats.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
@@ -272,7 +296,7 @@ def similar_pairs(
     members = written(members)
     sigs = written(feats.join(members.where("rep = id").select("id"), "id", "left_semi").select("id", "sig"))
     p = num / den + (1 - num / den) / 256
-    whole = round(T * p - 2.5 * (T * p * (1 - p)) ** 0.5)
+    whole = math.floor(T * p - 3 * (T * p * (1 - p)) ** 0.5)
     cand = written(refine(written(candidate_pairs(sigs, trees, leaf, least=least)), sigs, whole))
     sets = rows.mapInArrow(_features(k, True), "id bigint, shingles array<int>")
     x = cand.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")

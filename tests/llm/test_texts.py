@@ -78,6 +78,18 @@ def test_a_third_of_all_rows_alike(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("leaf", [256, 1])
+def test_recall_at_the_threshold(spark, leaf):
+    """Pairs of exactly 0.5 are found wherever their nodes end: at the first depth, or at the last as in a much larger table."""
+    texts = []
+    for i in range(600):
+        head = [f"h{i}x{j}" for j in range(42)]
+        texts += [" ".join(head + [f"{side}{i}x{j}" for j in range(20)]) for side in "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n bigint, t string")
+    got = {tuple(x) for x in similar_pairs(df, "n", F.col("t"), k=3, similarity=(1, 2), leaf=leaf)[0].collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in range(600)} and len(got) >= 0.965 * 600
+
+
 def test_no_texts(spark):
     df = spark.createDataFrame([(1, None), (2, "a b")], "n bigint, t string")
     pairs, members = similar_pairs(df, "n", F.col("t"), k=3)
