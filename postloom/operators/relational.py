@@ -292,7 +292,11 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], id_col: str, k: int = 60)
 
 def semantic_bands(pairs: DataFrame, a: str, b: str, merge: float = 0.94, distinct: float = 0.88) -> DataFrame:
     """``pairs`` with ``similarity`` and ``band``: merge, review or distinct."""
-    x = pairs.withColumn("similarity", cosine(F.col(a), F.col(b)))
+    return bands(pairs.withColumn("similarity", cosine(F.col(a), F.col(b))), merge, distinct)
+
+
+def bands(x: DataFrame, merge: float = 0.94, distinct: float = 0.88) -> DataFrame:
+    """``x`` with the ``band`` of its ``similarity``."""
     return x.withColumn("band", F.when(F.col("similarity") >= merge, "merge").when(F.col("similarity") < distinct, "distinct").otherwise("review"))
 
 

@@ -362,6 +362,18 @@ def semantic_bands(spark, d):
     return R.semantic_bands(x, "ea", "eb", 0.5, 0.2).select("a", "b", F.round("similarity", 4).alias("similarity"), "band")
 
 
+@query(
+    f"WITH t AS (SELECT a.vec_id AS q, b.vec_id AS i, {_COS} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 10)"
+    " SELECT least(q, i) AS a, greatest(q, i) AS b, round(max(s), 4) AS similarity, CASE WHEN max(s) >= 0.5 THEN 'merge' WHEN max(s) < 0.2 THEN 'distinct' ELSE 'review' END AS band FROM t GROUP BY least(q, i), greatest(q, i)"
+)
+def semantic_candidate_bands(spark, d):
+    """Bands of real candidates: each vector with its ten nearest, whatever their ids (semantic_bands has neighbouring ids alone)."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    x = R.cosine_topk(e, e, "vec_id", "embedding", 10)
+    x = x.groupBy(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).agg(F.max("similarity").alias("similarity"))
+    return R.bands(x, 0.5, 0.2).select("a", "b", F.round("similarity", 4).alias("similarity"), "band")
+
+
 _PAD = "' ' || regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g') || ' '"
 _T1, _D1 = _PAD.format("title_raw"), _PAD.format("description_text")
 

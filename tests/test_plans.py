@@ -31,3 +31,11 @@ def test_no_nested_loops(spark, name):
 def test_no_python(spark, name):
     p = plan(registry.queries()[name](spark, DIR))
     assert not any(x in p for x in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow"))
+
+
+def test_semantic_candidates_are_not_neighbouring_ids(spark, tmp_path):
+    """Close vectors whose ids are far apart are compared and come out as one to merge."""
+    rows = [(i, [float(j == i % 40) + 0.01 * (i // 40) for j in range(40)], "x") for i in range(80)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label string").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r["a"], r["b"]): r["band"] for r in registry.queries()["semantic_candidate_bands"](spark, str(tmp_path)).collect()}
+    assert {p for p, band in got.items() if band == "merge"} == {(i, i + 40) for i in range(40)}
