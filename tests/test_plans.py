@@ -39,3 +39,12 @@ def test_semantic_candidates_are_not_neighbouring_ids(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label string").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {(r["a"], r["b"]): r["band"] for r in registry.queries()["semantic_candidate_bands"](spark, str(tmp_path)).collect()}
     assert {p for p, band in got.items() if band == "merge"} == {(i, i + 40) for i in range(40)}
+
+
+def test_listed_names_are_never_dropped(spark):
+    from postloom.plans.cleaning import listed_names
+
+    names = listed_names(spark, DIR)
+    assert len(names) > 1 and listed_names(spark, DIR, bound=len(names)) == names
+    with pytest.raises(ValueError, match="names with a separating word"):
+        listed_names(spark, DIR, bound=len(names) - 1)
