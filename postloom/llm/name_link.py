@@ -212,7 +212,7 @@ def link_names(names: DataFrame, k: int = 2) -> DataFrame:
     moved = (F.length("a") == F.length("b")) & (F.array_sort(F.split("a", "")) == F.array_sort(F.split("b", "")))
     cut = (F.length("a") == F.length("b") + 2) & F.col("a").startswith(F.col("b"))
     inner = (F.length("a") == F.length("b") + 2) & ~cut
-    close = close.where(((F.col("d") == 1) | moved | cut | (inner & (large >= 3))) & ((small <= 2) | (small * 3 <= large)))
+    close = close.where(((F.col("d") == 1) | moved | cut | (inner & (large >= 3))) & (moved | cut | (small <= 2) | (small * 3 <= large)))
     ties = close.select(F.concat_ws("\t", "kind", "a").alias("a"), F.concat_ws("\t", "kind", "b").alias("b"))
     # reordered words
     sw = support.where("swapped <> ''").select("kind", "key", "swapped").alias("x").join(

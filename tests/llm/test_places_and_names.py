@@ -93,6 +93,13 @@ def test_names(spark):
     assert len([p for p in pairs if p[0] in NAMES["B"] or p[1] in NAMES["B"]]) == 3
 
 
+def test_moved_letters_tie_well_attested_keys(spark):
+    """Three decorated spellings of a typo don't part it from its name."""
+    rows = [(f"{n}{d}",) for n in ("Brandexolm", "Bradnexolm") for d in ("", " Ltd", " Inc")]
+    x = link_names(spark.createDataFrame(rows, "name string")).collect()
+    assert len(x) == 6 and len({r["class"] for r in x}) == 1
+
+
 def test_segment_join_against_brute_force(spark):
     r = random.Random(9)
     keys = list({"".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(150)})
