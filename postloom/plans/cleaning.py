@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.operators.boards import board_settings
-from postloom.operators.instants import estimate_zones, normalise_instants, unzoned
+from postloom.operators.instants import estimate_zones, evidence, normalise_instants, parse_instants
 from postloom.operators.lineage import written
 from postloom.operators.multivalue import explode_values, learn_and_split
 from postloom.operators.pay import assign_units, note_units, parse_amounts, stated_units, to_monthly
@@ -21,10 +21,10 @@ INSTANT_FIELDS = {
     "ashby": ("ashby_job", "published_at"),
     "workable": ("workable_job", "published_on"),
 }
-#: Candidate zones for boards whose own zone isn't registered.
+#: Candidate zones of boards.
 ZONES = [
     "America/Los_Angeles", "America/Denver", "America/Chicago", "America/New_York", "Europe/London", "Europe/Berlin",
-    "Asia/Kolkata", "Asia/Singapore", "Asia/Tokyo", "Australia/Sydney",
+    "Asia/Kolkata", "Asia/Singapore", "Asia/Tokyo", "Australia/Sydney", "UTC",
 ]
 
 
@@ -38,18 +38,23 @@ def _instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: All moments of the tables lie in 2024 to 2026.
+FIRST_US, LAST_US = 1_704_067_200_000_000, 1_798_761_600_000_000
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One UTC instant for each record whose field holds a valid moment."""
     boards = board_settings(table(spark, sf_dir, "job_source"))
-    x = normalise_instants(_instants(spark, sf_dir), "text", "source_id", boards, "fetched_at", ZONES)
+    x = normalise_instants(_instants(spark, sf_dir), "text", "source_id", boards, "fetched_at", ZONES, FIRST_US, LAST_US)
     return x.where("utc_us IS NOT NULL").select("origin", "record_id", "utc_us")
 
 
 def p4_zone_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The zone estimated for each source as if none were registered, beside the registered one."""
-    boards = board_settings(table(spark, sf_dir, "job_source"))
+    boards = board_settings(table(spark, sf_dir, "job_source")).select("source", "tz", "date_order")
     x = _instants(spark, sf_dir).join(boards, F.col("source_id") == F.col("source"), "left")
-    est = estimate_zones(unzoned(x, "text", "source_id", "fetched_at", F.col("date_order") == "dmy"), "source", "local_us", "in_us", ZONES)
+    parsed = parse_instants(x, "text", F.col("date_order") == "dmy").drop("source")
+    est = estimate_zones(evidence(parsed, "source_id", "fetched_at"), ZONES)
     return est.join(boards.select("source", "tz"), "source", "left").select(
         F.col("source").alias("source_id"), "zone", F.col("tz").alias("registered"), "n_rows", "n_violations"
     )
