@@ -4,9 +4,10 @@ A record is the set of its k-word shingles, embedded as T minwise tokens. A tree
 by a hash of the node's path, each send a record to the child of its token there. With two positions a pair of similarity 1/2 stays
 together on a path of depth d with a probability that falls with d (0.61 at 2, 0.40 at 5), so nodes that are too large at the first depth branch on
 three positions (of the sketch): from there the probability rises with depth (0.73 at 5), and more or larger nodes cost no recall. Independent trees raise
-it further; over 64 tokens, six find 0.99 of the pairs at 1/2 at depth 2 and 0.97 at depth 5. Nodes of at most ``leaf`` records are compared exhaustively on a 256-bit sketch; larger ones
-branch again; at the last depth they are compared in blocks, so no node is ever one task and none is dropped. Candidates are verified on the
-whole shingle sets. Trees are grown in rounds: only the rows of one round are on disk at a time.
+it further; over 64 tokens, six find 0.99 of the pairs at 1/2 at depth 2 and 0.97 at depth 5. Nodes of at most ``leaf`` records are compared exhaustively on a 256-bit sketch
+(up to about 2,048 that costs less than three more rows per record). Larger ones are found by counting nodes before any row of theirs is shuffled, and branch where they are: no task gets a hot
+node. A node that is no longer thinned out by branching, because its records are as similar as the threshold asks, is compared in pairs of blocks; none is dropped. Candidates are verified
+on the whole shingle sets. Trees are grown in rounds: only the rows of one round are on disk at a time.
 
 Exact copies are one record: the join runs over one representative per distinct set, copies come back at the end.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.wordhash import mix, shingle_sets, text_chunks, word_hashes
-from postloom.operators.lineage import written
+from postloom.operators.lineage import release, written
 
 T = 64
 #: Bits of each token in the sketch that travels with a record, and the columns of such a row.
@@ -116,9 +117,9 @@ def _plant(trees: range, depth: int):
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        node, *rest = (batch.column(i).to_numpy() for i in range(len(_ROW)))
-        for c in _children(node.view(np.uint64), _tokens(rest[1:]), 3):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c.view(np.int64), *rest)], _ROW)
+        node, *rest = (batch.column(i).to_numpy() for i in range(len(_ROW) + 1))
+        for c in _children(node.view(np.uint64), _tokens(rest[1:-1]), 3):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c.view(np.int64), *rest)], [*_ROW, "up"])
 
 
 def _compare(least: int, sided: bool = False):
@@ -176,76 +177,49 @@ def _compare(least: int, sided: bool = False):
     return run
 
 
-def candidate_pairs(sigs: DataFrame, trees: int = 6, leaf: int = 256, start: int = 2, depth: int = 5, least: int = 22, at_once: int = 2) -> DataFrame:
+def candidate_pairs(
+    sigs: DataFrame, trees: int = 6, leaf: int = 2048, start: int = 2, depth: int = 12, least: int = 22, at_once: int = 2, similarity: tuple[int, int] = (1, 2), block: int = 8192
+) -> DataFrame:
     """Distinct ``a < b`` of records that a small node puts together and whose sketches are close.
 
     ``sigs``: ``id, sig``. ``least`` of 64 positions must agree in their bits; a pair of similarity 0.5 is expected at 34 with a deviation of 4.
-    ``at_once`` trees are grown in a round, whose pairs are written before the next.
+    ``at_once`` trees are grown in a round, whose pairs are written before the next. A node beyond ``leaf`` with at least ``similarity`` of its parent's records,
+    or at ``depth``, is compared in blocks of ``block``: of m records each is copied m / block times.
     """
     out = None
     for t in range(0, trees, at_once):
-        x = written(_tree_pairs(sigs, range(t, min(t + at_once, trees)), leaf, start, depth, least))
+        x = _tree_pairs(sigs, range(t, min(t + at_once, trees)), leaf, start, depth, least, similarity, block)
         out = x if out is None else out.union(x)
     return out.distinct()
 
 
-def _tree_pairs(sigs: DataFrame, trees: range, leaf: int, start: int, depth: int, least: int) -> DataFrame:
+def _tree_pairs(sigs: DataFrame, trees: range, leaf: int, start: int, depth: int, least: int, similarity: tuple[int, int], block: int) -> DataFrame:
+    num, den = similarity
     rows = sigs.mapInArrow(_plant(trees, start), _SCHEMA)
-    found = []
+    up = F.lit(None).cast("bigint")
+    found, used = [], []
     for level in range(start, depth + 1):
-        sized = rows.repartition("node").sortWithinPartitions("node")
-        sized = sized.mapInArrow(_size_runs(leaf), _SCHEMA + ", n bigint")
-        small = sized.where("n = 0").select(*_ROW)
-        found.append(small.mapInArrow(_compare(least), "a bigint, b bigint"))
-        large = sized.where("n > 0")
-        if level < depth:
-            rows = large.select(*_ROW).mapInArrow(_branch, _SCHEMA)
-        else:
-            found.append(_in_blocks(large, leaf).mapInArrow(_compare(least, True), "a bigint, b bigint"))
+        sizes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min(up).alias("up")).where(F.col("m") > leaf))
+        used.append(sizes)
+        small = rows.join(sizes.select("node"), "node", "left_anti").select(*_ROW)
+        found.append(small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare(least), "a bigint, b bigint"))
+        if sizes.isEmpty():
+            break
+        # most records of the parent are here still: as similar as the pairs sought
+        done = F.coalesce(F.col("m") * den >= F.col("up") * num, F.lit(False)) | F.lit(level == depth)
+        alike, other = sizes.where(done).select("node", "m"), sizes.where(~done).select("node", "m")
+        found.append(_in_blocks(rows.join(alike, "node"), block).mapInArrow(_compare(least, True), "a bigint, b bigint"))
+        if other.isEmpty():
+            break
+        large = written(rows.join(other, "node").select(*_ROW, "m"))
+        used.append(large)
+        rows, up = large.mapInArrow(_branch, _SCHEMA + ", up bigint"), F.col("up")
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
-    return out.distinct()
-
-
-def _size_runs(leaf: int):
-    """Adds n to rows sorted by node: 0 for a node of 2 to ``leaf`` records, else its number so far or more; lone records go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        flood: tuple[int, int] | None = None  # a node beyond the leaf size whose rows are passed on as they come
-
-        def emit(cols: list[np.ndarray]):
-            if not len(cols[0]):
-                return None
-            edge = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
-            size = np.diff(np.append(edge, len(cols[0])))
-            n = np.repeat(size, size)
-            if flood is not None:
-                n[cols[0] == flood[0]] = leaf + 1
-            keep = n > 1
-            n = np.where(n > leaf, n, 0)
-            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in [*cols, n]], [*_ROW, "n"])
-
-        for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(len(_ROW))]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            if (r := emit([c[:cut] for c in cols])) is not None:
-                yield r
-            held = [c[cut:] for c in cols]
-            if len(held[0]) > leaf:  # large already: no need to hold it
-                flood = (int(held[0][0]), 1)
-                if (r := emit(held)) is not None:
-                    yield r
-                held = None
-        if held is not None and (r := emit(held)) is not None:
-            yield r
-
-    return run
+    out = written(out.distinct())
+    release(*used)
+    return out
 
 
 def _agree(least: int):
@@ -265,10 +239,9 @@ def refine(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return x.select("a", "b", "ta", "tb").mapInArrow(_agree(least), "a bigint, b bigint")
 
 
-def _in_blocks(large: DataFrame, leaf: int) -> DataFrame:
-    """Rows of oversized nodes keyed by pairs of blocks: every two records of a node meet under exactly one key."""
-    sizes = large.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
-    x = large.join(sizes, "node").withColumn("k", F.ceil(F.col("m") / leaf).cast("int"))
+def _in_blocks(large: DataFrame, block: int) -> DataFrame:
+    """Rows of oversized nodes (``m`` records each) keyed by pairs of blocks: every two records of a node meet under exactly one key."""
+    x = large.withColumn("k", F.ceil(F.col("m") / block).cast("int"))
     x = x.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     x = x.select(*_ROW, "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     key = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
@@ -277,7 +250,7 @@ def _in_blocks(large: DataFrame, leaf: int) -> DataFrame:
 
 
 def similar_pairs(
-    df: DataFrame, id_col: str, text: "F.Column", k: int = 5, similarity: tuple[int, int] = (4, 5), trees: int = 6, leaf: int = 256, least: int | None = None
+    df: DataFrame, id_col: str, text: "F.Column", k: int = 5, similarity: tuple[int, int] = (4, 5), trees: int = 6, leaf: int = 2048, least: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs ``a < b`` of representatives, members ``rep, id``): sets of k-word shingles with similarity of at least num/den.
 
@@ -292,13 +265,15 @@ def similar_pairs(
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     feats = written(rows.mapInArrow(_features(k, False), "id bigint, f1 bigint, f2 bigint, sig binary"))
     reps = feats.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    members = feats.select("id", "f1", "f2").join(reps, ["f1", "f2"]).select("rep", "id")
-    members = written(members)
+    members = written(feats.select("id", "f1", "f2").join(reps, ["f1", "f2"]).select("rep", "id"))
     sigs = written(feats.join(members.where("rep = id").select("id"), "id", "left_semi").select("id", "sig"))
+    release(feats)
     p = num / den + (1 - num / den) / 256
     whole = math.floor(T * p - 3 * (T * p * (1 - p)) ** 0.5)
-    cand = written(refine(written(candidate_pairs(sigs, trees, leaf, least=least)), sigs, whole))
-    sets = rows.mapInArrow(_features(k, True), "id bigint, shingles array<int>")
+    cand = written(refine(candidate_pairs(sigs, trees, leaf, least=least, similarity=similarity), sigs, whole))
+    release(sigs)
+    ids = cand.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = rows.mapInArrow(_features(k, True), "id bigint, shingles array<int>").join(ids, "id", "left_semi")
     x = cand.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     x = x.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
