@@ -272,7 +272,8 @@ def similar_pairs(
     whole = math.floor(T * p - 3 * (T * p * (1 - p)) ** 0.5)
     cand = written(refine(candidate_pairs(sigs, trees, leaf, least=least, similarity=similarity), sigs, whole))
     release(sigs)
-    ids = cand.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # written, so that its size is known when the join is planned: small enough, it thins the sets out before they move
+    ids = written(cand.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = rows.mapInArrow(_features(k, True), "id bigint, shingles array<int>").join(ids, "id", "left_semi")
     x = cand.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     x = x.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")

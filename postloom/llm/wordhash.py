@@ -93,6 +93,7 @@ def shingle_sets(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray
     s = mix(s) >> np.uint64(32)
     doc = np.repeat(np.arange(docs, dtype=np.uint64), np.diff(offsets))
     inside = doc[: n - k + 1] == doc[k - 1 :]
-    x = np.unique((doc[: n - k + 1][inside] << np.uint64(32)) | s[inside])
+    x = np.sort((doc[: n - k + 1][inside] << np.uint64(32)) | s[inside])
+    x = x[np.append(True, x[1:] != x[:-1])] if len(x) else x  # a sort of machine words is many times faster than np.unique
     owner = (x >> np.uint64(32)).astype(np.int64)
     return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(owner, np.arange(docs + 1))
