@@ -106,23 +106,27 @@ def sliding_count(events: DataFrame, keys: list[str], ts: str, seconds: int) ->
 def token_bucket(events: DataFrame, key: str, ts: str, order: str, rate: float, burst: float) -> DataFrame:
     """Events with ``allowed`` and ``tokens`` left: the bucket refills by time, each allowed event takes one.
 
-    A decision depends on all before it: one key is one task's stream (``applyInPandas`` keeps a key's columns of two numbers in memory).
+    A decision depends on all before it, but only through the level and the moment of the last event: the rows of a key come in batches, sorted by
+    the shuffle, and two numbers are kept, so a key may be of any size. NULL keys have no bucket and no rows.
     """
-    schema = f"{key} {dict(events.dtypes)[key]}, {order} {dict(events.dtypes)[order]}, allowed boolean, tokens double"
+    names = dict(events.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_s", order], kind="stable")
-        level, at, ok, left = burst, None, [], []
-        for s in pdf["_s"]:
-            level = min(burst, level + (0 if at is None else s - at) * rate)
-            at = s
-            ok.append(level >= 1)
-            level -= 1 if level >= 1 else 0
-            left.append(level)
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "allowed": ok, "tokens": left})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, level, at = object(), burst, None
+        for pdf in batches:
+            ok, left = [], []
+            for k, s in zip(pdf[key], pdf["_s"], strict=True):
+                if k != now:
+                    now, level, at = k, burst, None
+                level = min(burst, level + (0 if at is None else s - at) * rate)
+                at = s
+                ok.append(level >= 1)
+                level -= 1 if level >= 1 else 0
+                left.append(level)
+            yield pd.DataFrame({key: pdf[key], order: pdf[order], "allowed": ok, "tokens": left})
 
-    s = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    return events.select(key, order, s.alias("_s")).groupBy(key).applyInPandas(run, schema)
+    x = events.where(F.col(key).isNotNull()).select(key, order, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_s"))
+    return x.repartition(key).sortWithinPartitions(key, "_s", order).mapInPandas(run, f"{key} {names[key]}, {order} {names[order]}, allowed boolean, tokens double")
 
 
 # --- scores ----------------------------------------------------------------------------------------------------------------
@@ -134,18 +138,25 @@ def weighted(weights: dict[str, float], values: dict[str, Column]) -> Column:
 
 
 def percentile_ladder(df: DataFrame, value: str, ladders: list[list[str]], least: int = 20) -> DataFrame:
-    """``df`` with ``percentile`` (inclusive) among the peers of the first key list with at least ``least`` of them, else NULL, and ``level``."""
-    pct = lvl = None
+    """``df`` with ``percentile`` (inclusive) among the peers of the first key list with at least ``least`` of them, else NULL, and ``level``.
+
+    Rows become one count per keys and value before they are sorted, so a window holds distinct values, not rows; the shares come back by joins on
+    keys and value. Rows with a NULL in a key list have no peers there; NULL values have no percentile and are no peers.
+    """
+    out, pct, lvl = df, None, None
     for i, keys in enumerate(ladders):
-        w = Window.partitionBy(*keys)
-        n = F.count(value).over(w)
-        ok = (n >= least) & F.col(value).isNotNull()
-        for k in keys:
-            ok = ok & F.col(k).isNotNull()
-        p = F.count(value).over(w.orderBy(value)) / n  # peers at or below; NULL values are no peers
-        pct = F.when(ok, p) if pct is None else pct.when(ok, p)
+        names = [f"_k{j}" for j in range(len(keys))]
+        c = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy(*names)
+        c = c.withColumn(f"_n{i}", F.sum("_c").over(w)).withColumn(f"_p{i}", F.sum("_c").over(w.orderBy("_v")) / F.col(f"_n{i}")).drop("_c")
+        on = F.col(value) == F.col("_v")
+        for k, n in zip(keys, names, strict=True):
+            on = on & (F.col(k) == F.col(n))
+        out = out.join(c, on, "left").drop("_v", *names)
+        ok = F.col(f"_n{i}") >= least
+        pct = F.when(ok, F.col(f"_p{i}")) if pct is None else pct.when(ok, F.col(f"_p{i}"))
         lvl = F.when(ok, i) if lvl is None else lvl.when(ok, i)
-    return df.withColumn("percentile", pct).withColumn("level", lvl)
+    return out.withColumn("percentile", pct).withColumn("level", lvl).drop(*[f"{c}{i}" for c in ("_n", "_p") for i in range(len(ladders))])
 
 
 def decay(age_days: Column, half_life: float = 14.0, floor: float = 0.55) -> Column:
@@ -300,9 +311,9 @@ def bands(x: DataFrame, merge: float = 0.94, distinct: float = 0.88) -> DataFram
     return x.withColumn("band", F.when(F.col("similarity") >= merge, "merge").when(F.col("similarity") < distinct, "distinct").otherwise("review"))
 
 
-def against_last_passing(runs: DataFrame, order: str, score: str, gate: float, fall: float = 0.03, keys: list[str] | None = None) -> DataFrame:
-    """``runs`` with ``passed``, the score of the last passing run before, and ``regressed``: more than ``fall`` below it."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def against_last_passing(runs: DataFrame, order: str, score: str, gate: float, keys: list[str], fall: float = 0.03) -> DataFrame:
+    """``runs`` with ``passed``, the score of the last passing run of the same ``keys`` (a suite) before, and ``regressed``: more than ``fall`` below it."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     x = runs.withColumn("passed", F.col(score) >= gate)
     x = x.withColumn("last_passing", F.last(F.when(F.col("passed"), F.col(score)), ignorenulls=True).over(w))
     return x.withColumn("regressed", F.coalesce(F.col("last_passing") - F.col(score) > fall, F.lit(False)))

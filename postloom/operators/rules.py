@@ -74,6 +74,8 @@ SENIORITY = {
     "level_2": r"(?i)\b(?:software development engineer|sde)[\s-]*(?:2|ii)\b",
     "senior": r"(?i)\bsenior\b|\bsr\.?\b|\bstaff\b|\bprincipal\b|\bmid[\s-]level\b",
     "manager": r"(?i)\bmanager\b",
+    "staff_word": r"(?i)\bstaff\b|\bprincipal\b",
+    "senior_word": r"(?i)\bsenior\b|\bsr\.?\b",
     "entry": r"(?i)\bjunior\b|\bassociate\b|sde[\s-]?1\b|\bl3\b",
 }
 
@@ -97,8 +99,8 @@ def seniority(title: Column, requirements: Column, employment_type: Column) -> C
             (title.rlike(s["level_4"]), "staff"),
             (title.rlike(s["level_3"]), "senior"),
             (title.rlike(s["level_2"]), "mid"),
-            (both.rlike(r"(?i)\bstaff\b|\bprincipal\b"), "staff"),
-            (both.rlike(r"(?i)\bsenior\b|\bsr\.?\b"), "senior"),
+            (both.rlike(s["staff_word"]), "staff"),
+            (both.rlike(s["senior_word"]), "senior"),
             (both.rlike(s["senior"]), "mid"),
             (title.rlike(s["manager"]), "senior"),
             (both.rlike(s["entry"]), "entry"),
@@ -116,18 +118,26 @@ def extract_terms(text: Column, vocabulary: dict[str, Sequence[str]]) -> Column:
     return F.array_compact(F.array(*[F.when(some(a), F.lit(i)) for i, a in vocabulary.items()]))
 
 
+def as_words(c: Column) -> Column:
+    """Lower-case words with one space between; letters, digits, full stops, hyphens and apostrophes belong to words."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}.'-]+", " "))
+
+
 def resolve_aliases(df: DataFrame, text: str, gazetteer: DataFrame) -> DataFrame:
-    """``df`` with ``entry_id``: the entry whose alias equals ``text``, else the one with the longest alias that stands in it as words.
+    """``df`` with ``entry_id``: the entry with the longest alias that stands in ``text`` as words; the whole text is the longest of all.
 
-    ``gazetteer``: ``alias`` (lower case), ``entry_id``. Each run of up to four words of a text meets the aliases in an equi-join, so a growing
-    gazetteer costs a shuffle, not a nested loop. Ties of length go to the smallest id; texts without a hit keep NULL.
+    ``gazetteer``: ``alias``, ``entry_id``. The runs of words of each text, as long as the aliases are, meet the aliases in an equi-join, so a
+    growing gazetteer costs a shuffle, not a nested loop. Ties of length go to the smallest id; aliases and texts without words match nothing.
     """
+    names = gazetteer.select(as_words(F.col("alias")).alias("alias"), "entry_id").where("alias <> ''")
+    names = names.groupBy("alias").agg(F.min("entry_id").alias("entry_id"))
+    lengths = [r["n"] for r in names.select(F.size(F.split("alias", " ")).alias("n")).distinct().collect()]  # as many rows as there are lengths
     d = df.select(F.col(text).alias("_t")).where("_t IS NOT NULL").distinct()
-    w = F.split(F.trim(F.regexp_replace(F.lower("_t"), r"[^\p{L}\p{N}.'-]+", " ")), " ")
-    grams = d.select("_t", F.posexplode(w).alias("i", "_"), w.alias("w")).select(
-        "_t", F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.array_join(F.slice("w", F.col("i") + 1, n), " "))).alias("gram")
-    )
-    hits = grams.union(d.select("_t", F.lower(F.trim("_t")).alias("gram"))).join(gazetteer, F.col("gram") == F.col("alias"))
+    w = F.split(as_words(F.col("_t")), " ")
+    grams = d.select("_t", F.posexplode(w).alias("i", "_"), w.alias("w"))
+    each = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: F.col("i") + n <= F.size("w"))
+    grams = grams.select("_t", F.explode(F.transform(each, lambda n: F.array_join(F.slice("w", F.col("i") + 1, n), " "))).alias("alias"))
+    hits = grams.distinct().join(names, "alias")
     best = hits.groupBy("_t").agg(F.min_by("entry_id", F.struct(-F.length("alias"), F.col("entry_id"))).alias("entry_id"))
     return df.join(best, F.col(text) == F.col("_t"), "left").drop("_t")
 

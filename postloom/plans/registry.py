@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postloom.plans import cleaning, ingest, serving, texts
+from postloom.plans import cleaning, ingest, records, scores, serving, texts
 
-MODULES = [serving, texts, ingest, cleaning]
+MODULES = [serving, texts, records, scores, ingest, cleaning]
 FLAGSHIP = "feed_topk"
 
 

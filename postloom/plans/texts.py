@@ -10,7 +10,7 @@ from postloom.functions.similarity import cosine, jaro_winkler
 from postloom.functions.url import FRAGMENT_HOSTS, SESSION, TRACKING, TWO_LABEL_SUFFIXES, canonical_url, registered_domain, url_hash
 from postloom.operators import dedup as D
 from postloom.operators import relational as R
-from postloom.operators.rules import Family, classify, extract_terms, resolve_aliases, seniority, SENIORITY, tri_state
+from postloom.operators.rules import Family, classify, extract_terms, seniority, SENIORITY, tri_state
 from postloom.sources.tables import spread_table, table
 
 Q: dict = {}
@@ -237,14 +237,6 @@ def keyword_fraction(spark, d):
     return x.select("posting_id", n.cast("bigint").alias("n_skills"), F.round(F.when(n > 0, F.size(F.array_intersect("job", "own")) / n).otherwise(0.0), 6).alias("fraction"), F.array_sort(F.array_except("job", "own")).alias("missing"))
 
 
-@query(None)
-def gazetteer_resolve(spark, d):
-    """Longest alias that stands in the text as words."""
-    ref = table(spark, d, "location_ref")
-    g = ref.select(F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("a"), F.col("location_id").alias("entry_id")).select(F.lower("a").alias("alias"), "entry_id")
-    return resolve_aliases(table(spark, d, "greenhouse_job").select("item_id", "location_name"), "location_name", g)
-
-
 # --- duplicates ------------------------------------------------------------------------------------------------------------------
 @query("SELECT sha256(text) AS h, min(doc_id) AS keep_id, count(*)::BIGINT AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
 def exact_dedup(spark, d):
@@ -269,17 +261,6 @@ def stage1_matches(spark, d):
     return D.exact_edges(_keyed(spark, d), "id", ["k1", "k2", "k3"])
 
 
-@query(None)
-def dup_components(spark, d):
-    """Groups of postings tied by any of the exact keys."""
-    k = _keyed(spark, d)
-    e = None
-    for c in ("k1", "k2", "k3"):
-        x = D.exact_edges(k, "id", [c]).select("id", "match")
-        e = x if e is None else e.union(x)
-    return D.groups_of(e, k.select("id"))
-
-
 _PARAS = "list_filter(list_transform(regexp_split_to_array(text, '\\n[ \\t\\r\\f]*\\n'), lambda p: regexp_replace(p, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')), lambda p: strlen(p) >= 40)"
 _LEARNED = f"""
 WITH p AS (SELECT board_token, doc_id, unnest({_PARAS}) AS p FROM documents WHERE board_token IS NOT NULL),
@@ -307,16 +288,6 @@ def strip_boilerplate(spark, d):
     return x.withColumn("stripped", F.sha2("stripped", 256))
 
 
-@query(None)
-def simhash64(spark, d):
-    return D.simhash(spread_table(spark, d, "posting", "posting_id", "description_text"), "posting_id", "description_text")
-
-
-@query(None)
-def simhash_pairs(spark, d):
-    return D.close_simhashes(D.simhash(spread_table(spark, d, "posting", "posting_id", "description_text"), "posting_id", "description_text"), "posting_id")
-
-
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE jaro_winkler_similarity(a.p_name, b.p_name) >= 0.85")
 def jw_title_pairs(spark, d):
     """Similar names within a block of three keys: an equi-join, the similarity as its residual."""
