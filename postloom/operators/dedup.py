@@ -151,9 +151,8 @@ def structural_matches(
     pairs = pairs.where(compatible_places(*[F.col(n) for n in ("_city", "_tier", "_mode", "o_city", "o_tier", "o_mode")]))
     if not zero_matches:
         pairs = pairs.where("_simhash <> 0 AND o_simhash <> 0")
-    titles = pairs.select(F.least("_t", "o_t").alias("ta"), F.greatest("_t", "o_t").alias("tb")).distinct()
-    titles = titles.where(jaro_winkler("ta", "tb") >= alike)
-    pairs = pairs.join(titles, (F.least("_t", "o_t") == F.col("ta")) & (F.greatest("_t", "o_t") == F.col("tb")), "left_semi")
+    titles = pairs.select(F.col("_t").alias("ta"), F.col("o_t").alias("tb")).distinct().where(jaro_winkler("ta", "tb") >= alike)
+    pairs = pairs.join(titles, (F.col("_t") == F.col("ta")) & (F.col("o_t") == F.col("tb")), "left_semi")
     best = pairs.groupBy(F.col("_id").alias(key)).agg(F.min(F.struct(hamming(F.col("_simhash"), F.col("o_simhash")).alias("d"), F.col("o_id").alias("o"))).alias("m"))
     return best.select(key, F.col("m.o").alias("match"), F.col("m.d").alias("distance"), F.when(F.col("m.d") <= merge, "merge").otherwise("escalate").alias("action"))
 

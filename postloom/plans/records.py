@@ -23,8 +23,7 @@ Q: dict = {}
 SQL: dict[str, str] = {}
 _q = T._q
 #: The moment that stands for now in the queries below.
-NOW = "2025-10-01 00:00:00"
-_NOW = F.lit(NOW).cast("timestamp_ntz")
+NOW = "2024-10-15 00:00:00"
 
 
 def query(sql: str | None = None):
@@ -214,12 +213,20 @@ def simhash_classes(spark, d):
     return x.select("posting_id", "representative", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
 
 
+#: CTEs ending in ``jw (ta, tb, s)``: Jaro-Winkler over characters with half transpositions, of the pairs of ``tp (ta, tb)``.
+_JW = (
+    "jwm AS (SELECT ta, tb, list_reduce(list_transform(range(1, length(ta) + 1), lambda i: [i]), lambda acc, x: list_append(acc, coalesce(list_filter(range(greatest(1, x[1] - greatest(greatest(length(ta), length(tb)) // 2 - 1, 0)), least(x[1] + greatest(greatest(length(ta), length(tb)) // 2 - 1, 0), length(tb)) + 1), lambda j: tb[j] = ta[x[1]] AND NOT list_contains(acc, j))[1], -x[1])), []::BIGINT[]) AS hit FROM tp),"
+    " jwc AS (SELECT ta, tb, list_filter(hit, lambda j: j > 0) AS hit, list_filter(range(1, len(hit) + 1), lambda i: hit[i] > 0) AS own FROM jwm),"
+    " jws AS (SELECT ta, tb, len(hit) AS m, len(list_filter(range(1, len(hit) + 1), lambda k: ta[own[k]] <> tb[list_sort(hit)[k]])) / 2.0 AS t, CASE WHEN ta[1] <> tb[1] THEN 0 WHEN ta[1:2] <> tb[1:2] THEN 1 WHEN ta[1:3] <> tb[1:3] THEN 2 WHEN ta[1:4] <> tb[1:4] THEN 3 ELSE least(4, length(ta), length(tb)) END AS p FROM jwc),"
+    " jw AS (SELECT ta, tb, s + 0.1 * p * (1 - s) AS s FROM (SELECT ta, tb, p, CASE WHEN ta = tb THEN 1.0 WHEN m = 0 THEN 0.0 ELSE (m / length(ta) + m / length(tb) + (m - t) / m) / 3 END AS s FROM jws))"
+)
 _STAGE2 = (
     f"WITH {_PLACES}, {_SIMHASH}, rec AS (SELECT posting_id AS id, trim(regexp_replace(lower(trim(company_name_raw)), '[^a-z0-9]+', '-', 'g'), '-') AS b0, {T._NAME} AS b1, {_SENIORITY} AS b2, {_NORM_TITLE} AS t, posted_at AS seen, entry_id AS city, tier, mode, simhash"
     " FROM posting JOIN tb USING (posting_id) JOIN sh USING (posting_id)),"
     f" lim AS (SELECT * FROM rec WHERE seen > TIMESTAMP '{NOW}' - INTERVAL 45 DAY AND seen <= TIMESTAMP '{NOW}' QUALIFY row_number() OVER (PARTITION BY b0, b1, b2 ORDER BY seen DESC, id) <= 200),"
-    " prs AS (SELECT x.id, o.id AS o, bit_count(xor(x.simhash, o.simhash)) AS dist FROM rec x JOIN lim o USING (b0, b1, b2) WHERE x.id <> o.id AND x.simhash <> 0 AND o.simhash <> 0 AND jaro_winkler_similarity(x.t, o.t) >= 0.85"
+    " cp AS (SELECT x.id, o.id AS o, x.t AS ta, o.t AS tb, bit_count(xor(x.simhash, o.simhash)) AS dist FROM rec x JOIN lim o USING (b0, b1, b2) WHERE x.id <> o.id AND x.simhash <> 0 AND o.simhash <> 0"
     " AND (coalesce(x.city = o.city, false) OR (x.mode = 'remote' AND o.mode = 'remote') OR ((x.mode = 'remote' OR o.mode = 'remote') AND x.tier = o.tier) OR (x.city IS NULL) <> (o.city IS NULL))),"
+    f" tp AS (SELECT DISTINCT ta, tb FROM cp), {_JW}, prs AS (SELECT cp.* FROM cp JOIN jw USING (ta, tb) WHERE jw.s >= 0.85),"
     " best AS (SELECT id AS posting_id, arg_min(o, (dist, o)) AS match, min(dist)::INTEGER AS distance FROM prs GROUP BY id)"
 )
 
@@ -232,7 +239,7 @@ def _structural(spark: SparkSession, d: str) -> DataFrame:
         seniority(F.col("title_raw"), F.col("requirements_text"), F.col("employment_type_raw")).alias("seniority"),
     )
     x = x.join(D.simhash(p, "posting_id", "description_text"), "posting_id").join(_places(spark, d).withColumnRenamed("entry_id", "city"), "posting_id")
-    return D.structural_matches(written(x), "posting_id", ["company", "family", "seniority"], "title", "posted_at", _NOW)
+    return D.structural_matches(written(x), "posting_id", ["company", "family", "seniority"], "title", "posted_at", F.lit(NOW).cast("timestamp_ntz"))
 
 
 @query(_STAGE2 + " SELECT posting_id, match, distance, CASE WHEN distance <= 3 THEN 'merge' ELSE 'escalate' END AS action FROM best")
