@@ -58,6 +58,14 @@ def insert_if_absent(current: DataFrame, new: DataFrame, keys: list[str], order:
     return latest_per_key(new.join(current.select(*keys).distinct(), keys, "left_anti"), keys, order)
 
 
+def find_or_create(wanted: DataFrame, existing: DataFrame, key: str, id_col: str, prefix: str = "new-") -> DataFrame:
+    """``key, id, made``: the smallest existing id of each wanted key, or one made from a hash of the key, the same in every run. NULL keys get none."""
+    have = existing.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(id_col).alias("_have"))
+    x = wanted.where(F.col(key).isNotNull()).select(key).distinct().join(have, key, "left")
+    made = F.concat(F.lit(prefix), F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 12))
+    return x.select(key, F.coalesce(F.col("_have").cast("string"), made).alias(id_col), F.col("_have").isNull().alias("made"))
+
+
 def sticky_state(events: DataFrame, keys: list[str], order: list[str], last: list[str], last_known: list[str], first_known: list[str], ever: list[str]) -> DataFrame:
     """State of each key after its events: last value, last non-NULL, first non-NULL, or whether ever true.
 
@@ -88,6 +96,25 @@ def ema(events: DataFrame, key: str, order: list[str], x: Column, alpha: float =
     return r.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.lit(alpha) * F.col("_x") * F.pow(F.lit(1 - alpha), "_age")).alias("ema"))
 
 
+def poll_counters(events: DataFrame, key: str, order: list[str], failed: Column, found: Column, changed: Column, slowed: Column, rate: float, retire_after: int) -> DataFrame:
+    """``key, total_polls, total_successes, jobs_found, failures, last_changed, retire, max_rate`` after the events of each key.
+
+    ``failures`` are those in a row at the end: the failures after the last success, which a maximum finds on the map side, so no history is sorted. ``max_rate``
+    is halved by every event that is ``slowed``. NULL conditions count as false.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    o = F.struct(*order)
+    x = events.select(key, o.alias("_o"), F.col(order[0]).alias("_ts"), yes(failed).alias("_f"), found.alias("_n"), yes(changed).alias("_c"), yes(slowed).alias("_s"))
+    last_ok = x.where("NOT _f").groupBy(key).agg(F.max("_o").alias("_ok"))
+    total = x.groupBy(key).agg(
+        F.count(F.lit(1)).alias("total_polls"), F.count_if(~F.col("_f")).alias("total_successes"), F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("jobs_found"),
+        F.max(F.when(F.col("_c"), F.col("_ts"))).alias("last_changed"), F.count_if("_s").alias("_slow"),
+    )
+    tail = x.where("_f").join(last_ok, key, "left").where(F.col("_ok").isNull() | (F.col("_o") > F.col("_ok"))).groupBy(key).agg(F.count(F.lit(1)).alias("_fails"))
+    y = total.join(tail, key, "left").withColumn("failures", F.coalesce("_fails", F.lit(0)))
+    return y.select(key, "total_polls", "total_successes", "jobs_found", "failures", "last_changed", (F.col("failures") >= retire_after).alias("retire"), (F.lit(rate) / F.pow(F.lit(2.0), "_slow")).alias("max_rate"))
+
+
 def circuit_state(events: DataFrame, key: str, order: list[str], failed: Column, threshold: int = 5, base: int = 60, most: int = 21_600) -> DataFrame:
     """Consecutive failures after each event, and the seconds for which the circuit is open then (doubling, capped)."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -159,6 +186,24 @@ def percentile_ladder(df: DataFrame, value: str, ladders: list[list[str]], least
     return out.withColumn("percentile", pct).withColumn("level", lvl).drop(*[f"{c}{i}" for c in ("_n", "_p") for i in range(len(ladders))])
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """``keys`` and one column per entry of ``qs``: quantiles with linear interpolation between neighbouring ranks.
+
+    Rows become one count per keys and value before they are ranked, so a key of a third of all rows is as many rows as it has distinct values. NULLs aren't counted.
+    """
+    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    c = c.withColumn("_cum", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    out = []
+    for name, q in qs.items():
+        at = F.lit(q) * (F.col("_n") - 1)
+        low = F.min(F.when(F.col("_cum") > F.floor(at), F.col(value)))
+        high = F.min(F.when(F.col("_cum") > F.ceil(at), F.col(value)))
+        part = F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(name))
+    return c.groupBy(*keys).agg(*out)
+
+
 def decay(age_days: Column, half_life: float = 14.0, floor: float = 0.55) -> Column:
     """floor + (1 - floor) e^(-age ln 2 / half life); unknown age counts as one half life, future as 0."""
     a = F.greatest(F.coalesce(age_days, F.lit(half_life)), F.lit(0.0))

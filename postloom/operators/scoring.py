@@ -46,7 +46,7 @@ def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
 
 def top_factors(weights: Column, values: dict[str, Column], n: int = 4) -> Column:
     """``name=value`` of the ``n`` largest products of weight and value; ties keep the order of ``values``; absent ones are skipped."""
-    each = [F.when(v.isNotNull() & weights[k].isNotNull(), F.struct((-(weights[k] * v)).alias("c"), F.lit(i).alias("i"), F.concat(F.lit(f"{k}="), v.cast("string")).alias("t"))) for i, (k, v) in enumerate(values.items())]
+    each = [F.when(v.isNotNull() & weights[k].isNotNull(), F.struct((-F.round(weights[k] * v, 6)).alias("c"), F.lit(i).alias("i"), F.concat(F.lit(f"{k}="), v.cast("string")).alias("t"))) for i, (k, v) in enumerate(values.items())]
     return F.transform(F.slice(F.array_sort(F.array_compact(F.array(*each))), 1, n), lambda s: s["t"])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.operators.lineage import shared_dir
+from postloom.plans.queues import BUDGET_SQL, TOKEN_SQL
 from postloom.plans.texts import _unescape_sql
 from postloom.sources.alerts import alert_postings, robots_allowed, robots_rules
 from postloom.sources.payloads import corrupt_pages, parse_pages, valid_pages
@@ -146,15 +147,23 @@ def parse_errors(spark, d):
     return corrupt_pages(cut, "greenhouse").select("source_id", "page_no")
 
 
+_PROVIDER = "list_extract(['linkedin', 'indeed', 'glassdoor', 'handshake'], (posting_id % 4 + 1)::INTEGER)"
+_LINK = "list_extract(['https://www.linkedin.com/comm/jobs/view/', 'https://www.indeed.com/viewjob?jk=', 'https://www.glassdoor.com/job-listing/', 'https://app.joinhandshake.com/stu/jobs/'], (posting_id % 4 + 1)::INTEGER)"
+_PLAIN_TITLE = f"trim(regexp_replace({_unescape_sql('title_raw')}, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ')"
+
+
 @query(
-    "SELECT posting_id, 0 AS pos, 'linkedin' AS provider, 'https://www.linkedin.com/comm/jobs/view/' || posting_id AS url, trim(regexp_replace(title_raw, '\\s+', ' ', 'g')) AS title, 'Firm ' || posting_id AS company, 'Place ' || posting_id AS place"
-    " FROM posting WHERE adapter = 'email' AND trim(title_raw) <> '' AND title_raw NOT LIKE '%&%'"
+    f"SELECT posting_id, 0 AS pos, {_PROVIDER} AS provider, {_LINK} || posting_id AS url, {_PLAIN_TITLE} AS title, 'Firm ' || posting_id AS company, 'Place ' || posting_id AS place FROM posting WHERE {_PLAIN_TITLE} <> ''"
 )
 def alert_mails(spark, d):
-    """Anchors of alert mails with the texts after them; one mail for each posting that came by mail."""
-    p = table(spark, d, "posting").where("adapter = 'email' AND trim(title_raw) <> '' AND title_raw NOT LIKE '%&%'")
-    body = F.format_string("<p>New</p><a href='https://www.linkedin.com/comm/jobs/view/%s'><b>%s</b></a><div>Firm %s</div><div>Place %s</div><a href='https://x.example/unsubscribe'>Leave</a>", "posting_id", "title_raw", "posting_id", "posting_id")
-    return alert_postings(p.select("posting_id", F.lit("Alerts <jobs@linkedin.com>").alias("sender"), body.alias("body")), "posting_id", "sender", "body")
+    """Anchors of alert mails of four senders with the texts after them; one mail for each posting, its title escaped as in markup."""
+    p = table(spark, d, "posting")
+    i = (F.col("posting_id") % 4 + 1).cast("int")
+    link = F.element_at(F.array(*[F.lit(x) for x in ("https://www.linkedin.com/comm/jobs/view/", "https://www.indeed.com/viewjob?jk=", "https://www.glassdoor.com/job-listing/", "https://app.joinhandshake.com/stu/jobs/")]), i)
+    sender = F.element_at(F.array(*[F.lit(x) for x in ("Alerts <jobs@linkedin.com>", "alert@indeed.com", "noreply@glassdoor.com", "Handshake <handshake@mail.joinhandshake.com>")]), i)
+    title = F.replace(F.replace(F.replace("title_raw", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.format_string("<p>New</p><a href='%s%s'><b>%s</b></a><div>Firm %s</div><div>Place %s</div><a href='https://x.example/unsubscribe'>Leave</a>", link, "posting_id", title, "posting_id", "posting_id")
+    return alert_postings(p.select("posting_id", sender.alias("sender"), body.alias("body")), "posting_id", "sender", "body")
 
 
 _ROBOTS = "User-agent: *\nDisallow: /\n\nUser-agent: loom\nDisallow: /*/jobs/R-\nAllow: /*/jobs/R-1*\nDisallow: /*/apply$"
@@ -204,11 +213,46 @@ def stream_circuit(spark, d):
     return _run(feeds.circuit_stream(e, "user_id", "ts", "event_id", "failed", threshold=3)).withColumn("failures", F.col("failures").cast("bigint"))
 
 
+@query(
+    "WITH s AS (SELECT event_type, unnest([date_trunc('hour', ts) - INTERVAL 30 MINUTE, date_trunc('hour', ts), date_trunc('hour', ts) + INTERVAL 30 MINUTE]) AS start, ts FROM events)"
+    " SELECT start::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n FROM s WHERE ts >= start AND ts < start + INTERVAL 1 HOUR AND start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL"
+)
+def stream_sliding_counts(spark, d):
+    """Windows of an hour that begin every half hour, once the watermark has closed them."""
+    x = _run(feeds.windowed_counts(_events(spark, d), "ts", ["event_type"], slide="30 minutes"))
+    return x.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query(
+    "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),"
+    ' s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*)::BIGINT AS n FROM s GROUP BY user_id, k'
+    " HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+)
+def stream_sessions(spark, d):
+    """Runs of a user's events with less than six hours between, once the watermark has closed them."""
+    x = _run(feeds.sessions(_events(spark, d), "ts", ["user_id"], gap="6 hours"))
+    return x.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query(TOKEN_SQL)
+def stream_token_bucket(spark, d):
+    """The token bucket with its level kept from batch to batch."""
+    e = _events(spark, d).select("event_id", "user_id", "ts")
+    return _run(feeds.token_stream(e, "user_id", "ts", "event_id", rate=1 / 3600, burst=3.0)).withColumn("tokens", F.round("tokens", 4))
+
+
+@query(BUDGET_SQL)
+def stream_budgets(spark, d):
+    """Sequential budgets with the sent events of the last day kept from batch to batch."""
+    e = _events(spark, d).select("event_id", "user_id", "ts", "event_type")
+    return _run(feeds.budget_stream(e, "user_id", "ts", "event_id", "event_type", per_hour=1, per_day=3, per_kind_day=2))
+
+
 @query("SELECT event_id, user_id, event_type FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 200) WHERE event_id > (SELECT max(event_id) - 150 FROM events)")
 def feed_replay(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "event_type")
     last = e.agg(F.max("event_id")).first()[0]
-    return feeds.replay(e, (last or 0) - 150)
+    return feeds.replay(e, (0 if last is None else last) - 150)
 
 
 QUERIES, ORACLE_SQL = Q, SQL

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postloom.plans import cleaning, ingest, records, scores, serving, texts
+from postloom.plans import cleaning, ingest, queues, records, scores, serving, texts
 
-MODULES = [serving, texts, records, scores, ingest, cleaning]
+MODULES = [serving, texts, records, scores, queues, ingest, cleaning]
 FLAGSHIP = "feed_topk"
 
 

@@ -133,7 +133,7 @@ def score_composite(spark, d):
     return _scored(spark, d).select("posting_id", "overall_match", F.round(S.clamp(F.col("base") * F.col("fresh"))).cast("int").alias("priority"), "compensation", inputs.alias("inputs"))
 
 
-_FACTOR = lambda i, k, w: f"CASE WHEN {k} IS NOT NULL THEN {{'c': -({w} * {k})::DOUBLE, 'i': {i}, 't': '{k}=' || {k}}} END"
+_FACTOR = lambda i, k, w: f"CASE WHEN {k} IS NOT NULL THEN {{'c': -round({w} * {k}, 6)::DOUBLE, 'i': {i}, 't': '{k}=' || {k}}} END"
 _WORDS_OF = "regexp_split_to_array(trim(regexp_replace(description_text, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' '), ' ')"
 
 

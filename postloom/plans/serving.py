@@ -63,9 +63,11 @@ def feed_filtered(spark, d):
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------------
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def undelivered_antijoin(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without an urgent order."""
+    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey")
+    return table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
@@ -110,9 +112,9 @@ def distinct_from(spark, d):
     return x.select("doc_id", (F.col("n_chars").cast("double") / F.length("text")).alias("ratio"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%' || 'er' || '%' ORDER BY p_name, p_partkey LIMIT 50")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%' || 'GE' || '%' ORDER BY p_name, p_partkey LIMIT 50")
 def contains_ilike(spark, d):
-    return table(spark, d, "part").where(F.col("p_name").ilike("%er%")).select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(50)
+    return table(spark, d, "part").where(F.col("p_name").ilike("%GE%")).select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(50)
 
 
 # --- aggregates -------------------------------------------------------------------------------------------------------------
@@ -139,7 +141,8 @@ def metrics_rate(spark, d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY event_type")
 def latency_quantiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 4).alias("p95"))
+    x = R.exact_quantiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return x.select("event_type", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
 
 
 @query(
@@ -272,12 +275,6 @@ def batch_collapse(spark, d):
     return x.select("user_id", F.transform(F.array_sort("e"), lambda s: F.concat_ws(":", s["event_type"], s["event_id"])).alias("steps"), F.size("e").cast("bigint").alias("n"))
 
 
-@query(None)
-def token_bucket(spark, d):
-    """Sequential admission per user: a rate of one an hour, bursts of three."""
-    return R.token_bucket(table(spark, d, "events"), "user_id", "ts", "event_id", rate=1 / 3600, burst=3.0)
-
-
 @query(
     "WITH c AS (SELECT label, CASE WHEN embedding[1] > 0 THEN label ELSE (label + 1) % 10 END AS predicted FROM embeddings), k AS (SELECT DISTINCT label FROM c),"
     " m AS (SELECT k.label, count(*) FILTER (WHERE c.label = k.label AND predicted = k.label) AS tp, count(*) FILTER (WHERE c.label <> k.label AND predicted = k.label) AS fp, count(*) FILTER (WHERE c.label = k.label AND predicted <> k.label) AS fn FROM k CROSS JOIN c GROUP BY k.label)"

@@ -57,6 +57,60 @@ def circuit_stream(stream: DataFrame, key: str, ts: str, order: str, failed: str
     return stream.groupBy(key).applyInPandasWithState(step, out, "failures int", "append", GroupStateTimeout.NoTimeout)
 
 
+def token_stream(stream: DataFrame, key: str, ts: str, order: str, rate: float, burst: float) -> DataFrame:
+    """Admission by a token bucket per key, kept from batch to batch: the state is the level and the moment of the last event.
+
+    Rows of a key are taken in (time, order) within a micro-batch.
+    """
+    out = f"{key} bigint, {order} bigint, allowed boolean, tokens double"
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        level, at = state.get if state.exists else (burst, None)
+        pdf = pd.concat(list(batches)).sort_values([ts, order], kind="stable")
+        ok, left = [], []
+        for us in pdf[ts].astype("datetime64[us]").astype("int64"):
+            level = min(burst, level + (0 if at is None else (us - at) / 1e6) * rate)
+            at = us
+            ok.append(level >= 1)
+            level -= 1 if level >= 1 else 0
+            left.append(level)
+        state.update((float(level), None if at is None else int(at)))
+        yield pd.DataFrame({key: pdf[key], order: pdf[order], "allowed": ok, "tokens": left})
+
+    return stream.groupBy(key).applyInPandasWithState(step, out, "level double, at bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def budget_stream(stream: DataFrame, key: str, ts: str, order: str, kind: str, per_hour: int = 8, per_day: int = 25, per_kind_day: int = 10) -> DataFrame:
+    """Whether each event is within the budgets of its key, counting only those sent before; the state is the moments and kinds sent in the last day, at most ``per_day``."""
+    out = f"{key} bigint, {order} bigint, sent boolean"
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        sent = list(zip(*state.get, strict=True)) if state.exists else []
+        pdf = pd.concat(list(batches)).sort_values([ts, order], kind="stable")
+        ok = []
+        for us, what in zip(pdf[ts].astype("datetime64[us]").astype("int64"), pdf[kind], strict=True):
+            sent = [x for x in sent if x[0] > us - 86_400_000_000]
+            fits = sum(x[0] > us - 3_600_000_000 for x in sent) < per_hour and len(sent) < per_day and sum(x[1] == what for x in sent) < per_kind_day
+            if fits:
+                sent.append((int(us), what))
+            ok.append(fits)
+        state.update(([x[0] for x in sent], [x[1] for x in sent]))
+        yield pd.DataFrame({key: pdf[key], order: pdf[order], "sent": ok})
+
+    return stream.groupBy(key).applyInPandasWithState(step, out, "at array<bigint>, kind array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def heartbeat(spark: SparkSession, seconds: int = 30) -> DataFrame:
+    """A row every ``seconds``: what keeps an idle subscription open."""
+    return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("advanceMillisPerBatch", seconds * 1000).option("numPartitions", 1).load()
+
+
+def run_every(df: DataFrame, write, checkpoint: str, interval: str | None = None, mode: str = "append"):
+    """A loop over micro-batches: ``write(batch, id)`` every ``interval``, or once over all there is if that is NULL. Returns the running query."""
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
+
+
 def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Everything that is there now, through a stream, as a table."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
