@@ -2,9 +2,9 @@
 
 A text is cut at marks that always separate (line breaks, semicolons, bars, slashes, bullets, list numbers, "or").
 Commas and "and" may separate values or belong to one ("City, Region"; "A and B" as a name): there, every way to
-group the atoms is a path of a lattice. Expectation-maximisation learns over the distinct texts of the whole column how often
-an atom starts a value and how often it follows as a part of one; the Viterbi path of each lattice gives the values. Quoted
-spans are single atoms whatever they hold.
+group the atoms is a path of a lattice, in which an atom starts a value, follows as a part of one, or is the second half of a name with "and".
+Expectation-maximisation learns over the distinct texts of the whole column how often an atom starts a value and how often it follows; the
+Viterbi path of each lattice gives the values, of any number of parts, in time linear in the atoms. Quoted spans are single atoms whatever they hold.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from postloom.operators.lineage import written
 
-#: Longest value in atoms, e.g. name, region, country, postal code.
-MAX_PARTS = 4
 _QUOTES = {'"': '"', "“": "”", "'": "'", "‘": "’", "«": "»", "「": "」"}
 _STRONG = re.compile(
     r"\s*(?:\r\n|[\n\t;|•·‣▪、；]|<br\s*/?>|//|(?<=\S\S)/(?=\s*\S\S)|(?<=\s)/(?=\s)|(?<=\s)\+(?=\s)|(?:^|(?<=\s))\d{1,2}[.)](?=\s)"
@@ -122,9 +120,8 @@ def _near(a: str, b: str) -> bool:
 class Model:
     """Scores of atoms as the start (head) or a later part (tail) of a value, from counts over the whole column."""
 
-    def __init__(self, totals: dict[str, float], names: Iterable[tuple[str, str]] = ()):
+    def __init__(self, totals: dict[str, float]):
         self.t = totals
-        self.names = list(names)
         h, t = max(totals.get("h", 1.0), 1e-9), max(totals.get("t", 1.0), 1e-9)
         self.go = math.log(t / (h + t))
         self.stop = math.log(h / (h + t))
@@ -140,64 +137,57 @@ class Model:
         c = max(0.0, counts.get(k, (0.0, 0.0))[1] - 1) + (self.t.get("t1" + s, 0.0) + 0.5) / (self.t.get("v1" + s, 0.0) + 1)
         return math.log(c / (self.t.get("t", 1.0) + 1))
 
-    def joined(self, a: str, b: str, counts: dict[str, tuple[float, float]]) -> float | None:
-        """Score of "a and b" as one head: only where it is a known name or seen in at least two texts."""
-        left, right = re.split(r"[\s:-]+", a), b.split()
-        for x, y in self.names:
-            nx, ny = len(x.split()), len(y.split())
-            if _near(" ".join(left[-nx:]), x) and _near(" ".join(right[:ny]), y):
-                return 0.0
-        c = counts.get(f"{a} & {b}", (0.0, 0.0))[0] - 1
+    def joined(self, k: str, counts: dict[str, tuple[float, float]], whole: frozenset[str]) -> float | None:
+        """Score of "a & b" as one head: only where it holds a known name or is seen in at least two texts."""
+        if k in whole:
+            return 0.0
+        c = counts.get(k, (0.0, 0.0))[0] - 1
         return math.log(c / (self.t.get("h", 1.0) + 1)) if c > 0 else None
 
-    def arcs(self, group: list[Atom], counts: dict[str, tuple[float, float]]) -> list[tuple[int, int, float, list[tuple[str, int]]]]:
-        """(from, to, log score, [(key, role)]) for each value that the atoms from..to could be."""
+    def arcs(self, group: list[Atom], counts: dict[str, tuple[float, float]], whole: frozenset[str]) -> list[list[tuple[int, float, str, int]]]:
+        """For each place after an atom, the arcs that end there: (place before, log score, key, role); role 0 starts a value, 1 goes on with one."""
         ks = [key(a[1]) for a in group]
-        out = []
-        for i in range(len(ks)):
-            starts = [(i + 1, self.head(ks[i], counts), [(ks[i], 0)])]
-            if i + 1 < len(ks) and group[i + 1][0] == "&" and (j := self.joined(ks[i], ks[i + 1], counts)) is not None:
-                starts.append((i + 2, j, [(f"{ks[i]} & {ks[i + 1]}", 0)]))
-            for e, score, used in starts:
-                out.append((i, e, score + self.stop + self.more, used))
-                tails, s = list(used), score
-                for x in range(e, min(len(ks), e + MAX_PARTS - 1)):
-                    if group[x][0] != ",":
-                        break
-                    s += self.go + self.tail(ks[x], counts)
-                    tails = [*tails, (ks[x], 1)]
-                    out.append((i, x + 1, s + self.stop + self.more, tails))
+        new = self.stop + self.more
+        out: list[list[tuple[int, float, str, int]]] = [[] for _ in range(len(ks) + 1)]
+        for i, k in enumerate(ks):
+            out[i + 1].append((i, self.head(k, counts) + new, k, 0))
+            if i and group[i][0] == ",":
+                out[i + 1].append((i, self.go + self.tail(k, counts), k, 1))
+            if i and group[i][0] == "&" and (j := self.joined(both := f"{ks[i - 1]} & {k}", counts, whole)) is not None:
+                out[i + 1].append((i - 1, j + new, both, 0))
         return out
 
-    def best(self, group: list[Atom], counts: dict[str, tuple[float, float]]) -> list[tuple[int, int]]:
-        """Viterbi path: the values as ranges of atoms."""
+    def best(self, group: list[Atom], counts: dict[str, tuple[float, float]], whole: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+        """Viterbi path: the values as ranges of atoms. Of equal paths the one that starts a value wins."""
         n = len(group)
-        score, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
-        for i, e, s, _ in sorted(self.arcs(group, counts), key=lambda a: (a[0], a[1])):
-            if score[i] + s > score[e]:
-                score[e], back[e] = score[i] + s, i
-        out, e = [], n
+        score, back = [0.0] + [-math.inf] * n, [(0, 0)] * (n + 1)
+        for e, arcs in enumerate(self.arcs(group, counts, whole)):
+            for i, s, _, role in arcs:
+                if score[i] + s > score[e]:
+                    score[e], back[e] = score[i] + s, (i, role)
+        out, e, end = [], n, n
         while e:
-            out.append((back[e], e))
-            e = back[e]
+            i, role = back[e]
+            if role == 0:
+                out.append((i, end))
+                end = i
+            e = i
         return out[::-1]
 
-    def expected(self, group: list[Atom], counts: dict[str, tuple[float, float]], add: dict[tuple[str, int], float]) -> float:
-        """Forward-backward: adds the posterior count of every key and role; the expected number of values."""
+    def expected(self, group: list[Atom], counts: dict[str, tuple[float, float]], whole: frozenset[str], add: dict[tuple[str, int], float]) -> None:
+        """Forward-backward: adds the posterior count of every key and role."""
         n = len(group)
-        arcs = sorted(self.arcs(group, counts), key=lambda a: (a[0], a[1]))
+        ends = self.arcs(group, counts, whole)
         fw, bw = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-        for i, e, s, _ in arcs:
-            fw[e] = _logadd(fw[e], fw[i] + s)
-        for i, e, s, _ in sorted(arcs, key=lambda a: -a[0]):
-            bw[i] = _logadd(bw[i], bw[e] + s)
-        values = 0.0
-        for i, e, s, used in arcs:
-            p = math.exp(fw[i] + s + bw[e] - fw[n])
-            values += p
-            for u in used:
-                add[u] += p
-        return values
+        for e, arcs in enumerate(ends):
+            for i, s, _, _ in arcs:
+                fw[e] = _logadd(fw[e], fw[i] + s)
+        for e in range(n, 0, -1):
+            for i, s, _, _ in ends[e]:
+                bw[i] = _logadd(bw[i], bw[e] + s)
+        for e, arcs in enumerate(ends):
+            for i, s, k, role in arcs:
+                add[k, role] += math.exp(fw[i] + s + bw[e] - fw[n])
 
 
 def _logadd(a: float, b: float) -> float:
@@ -265,55 +255,111 @@ def _totals(counts: DataFrame, groups: float) -> dict[str, float]:
     return out
 
 
-def learn_and_split(texts: DataFrame, names: Iterable[str] = (), rounds: int = 3) -> DataFrame:
+def _shorter(text: str) -> set[str]:
+    """The text and what is left of it without any one character: two texts one edit or transposition apart share one of these."""
+    return {text, *(text[:i] + text[i + 1 :] for i in range(len(text)))}
+
+
+def _name_probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for n in pdf["name"]:
+            halves = re.split(r"\s+(?:and|&)\s+", n, maxsplit=1, flags=re.I)
+            if len(halves) == 2 and all(h.strip() for h in halves):
+                x, y = (key(h) for h in halves)
+                rows += [(x, y, p) for p in _shorter(x)]
+        yield pd.DataFrame(rows, columns=["x", "y", "probe"])
+
+
+def _left(k: str) -> list[str]:
+    return re.split(r"[\s:-]+", k.split(" & ", 1)[0])
+
+
+def _pair_probes(lengths: list[int]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, p) for k in pdf["key"] for n in lengths if n <= len(_left(k)) for p in _shorter(" ".join(_left(k)[-n:]))]
+            yield pd.DataFrame(rows, columns=["key", "probe"])
+
+    return run
+
+
+def _is_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        ok = []
+        for k, x, y in zip(pdf["key"], pdf["x"], pdf["y"], strict=True):
+            right = k.split(" & ", 1)[1].split()
+            ok.append(_near(" ".join(_left(k)[-len(x.split()) :]), x) and _near(" ".join(right[: len(y.split())]), y))
+        yield pdf.loc[ok, ["key"]]
+
+
+def whole_names(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """``key`` of the pairs "a & b" (``key``) that hold a known name with "and" or "&", also with a typing error in each half.
+
+    An equi-join on the first halves and what is left of them without a character, verified on both halves: the names may be any number.
+    """
+    idx = written(names.select("name").where("name IS NOT NULL").distinct().mapInPandas(_name_probes, "x string, y string, probe string"))
+    lengths = [r["n"] for r in idx.select(F.size(F.split("x", " ")).alias("n")).distinct().collect()]  # as many rows as there are lengths
+    hits = pairs.mapInPandas(_pair_probes(sorted(lengths)), "key string, probe string").join(idx, "probe").select("key", "x", "y").distinct()
+    return hits.mapInPandas(_is_whole, "key string").distinct()
+
+
+def learn_and_split(texts: DataFrame, names: DataFrame | None = None, rounds: int = 3) -> DataFrame:
     """``text, pieces`` for every distinct non-blank ``text`` of ``texts``: its values as written, in order.
 
-    ``names``: known names that hold "and" or "&" and stay whole, also with a typing error (a bounded list; without it
+    ``names``: a table with a column ``name``; names that hold "and" or "&" stay whole, also with a typing error (without them
     such names are kept only if the column itself shows them often enough). Each distinct text counts once, so repeated
-    rows don't shift the frequencies. Texts of marks only have an empty array; ties go to the shorter first value.
+    rows don't shift the frequencies. Texts of marks only have an empty array; of equally likely values the shorter first one wins.
     """
-    pairs = [tuple(key(x) for x in re.split(r"\s+(?:and|&)\s+", n, maxsplit=1, flags=re.I)) for n in names if re.search(r"\s(?:and|&)\s", n, re.I)]
     texts = written(texts.select("text").where("text IS NOT NULL AND trim(text) <> ''").distinct())
     keys = texts.mapInPandas(_keys_of, "text string, key string")
     counts = written(texts.mapInPandas(_first_counts, "key string, h double, t double").groupBy("key").agg(F.sum("h").alias("h"), F.sum("t").alias("t")))
     groups = float(texts.count())
+    if names is not None:
+        pairs = keys.where(F.col("key").contains(" & "))
+        whole = whole_names(pairs.select("key").distinct(), names)
+        whole = pairs.join(whole, "key").groupBy("text").agg(F.collect_list("key").alias("whole"))
+        texts = written(texts.join(whole, "text", "left"))
+    else:
+        texts = texts.withColumn("whole", F.lit(None).cast("array<string>"))
     joined = lambda c: (
         texts.join(
             keys.join(c, "key").groupBy("text").agg(F.collect_list(F.struct("key", "h", "t")).alias("counts")), "text", "left"
         )
     )
     for _ in range(rounds):
-        model = Model(_totals(counts, groups), pairs)
+        model = Model(_totals(counts, groups))
 
         def step(batches: Iterator[pd.DataFrame], model: Model = model) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 add: dict[tuple[str, int], float] = defaultdict(float)
-                for text, row in zip(pdf["text"], pdf["counts"], strict=True):
-                    c = _counts_of(row)
+                for text, row, whole in zip(pdf["text"], pdf["counts"], pdf["whole"], strict=True):
+                    c, w = _counts_of(row), frozenset(() if whole is None else whole)
                     for g in atoms(text):
                         if len(g) == 1:
                             add[key(g[0][1]), 0] += 1.0
                         else:
-                            model.expected(g, c, add)
+                            model.expected(g, c, w, add)
                 ks = list(dict.fromkeys(k for k, _ in add))
                 yield pd.DataFrame({"key": ks, "h": [add.get((k, 0), 0.0) for k in ks], "t": [add.get((k, 1), 0.0) for k in ks]})
 
         counts = written(joined(counts).mapInPandas(step, "key string, h double, t double").groupBy("key").agg(F.sum("h").alias("h"), F.sum("t").alias("t")))
-    model = Model(_totals(counts, groups), pairs)
+    model = Model(_totals(counts, groups))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"text": pdf["text"], "pieces": [split_text(t, model, _counts_of(r)) for t, r in zip(pdf["text"], pdf["counts"], strict=True)]})
+            rows = zip(pdf["text"], pdf["counts"], pdf["whole"], strict=True)
+            yield pd.DataFrame({"text": pdf["text"], "pieces": [split_text(t, model, _counts_of(r), frozenset(() if w is None else w)) for t, r, w in rows]})
 
     return joined(counts).mapInPandas(decode, "text string, pieces array<string>")
 
 
-def split_text(text: str, model: Model, counts: dict[str, tuple[float, float]]) -> list[str]:
+def split_text(text: str, model: Model, counts: dict[str, tuple[float, float]], whole: frozenset[str] = frozenset()) -> list[str]:
     """Values of one text, as written."""
     s = _bare(text)
     out = []
     for g in atoms(text):
-        for a, b in model.best(g, counts) if len(g) > 1 else [(0, 1)]:
+        for a, b in model.best(g, counts, whole) if len(g) > 1 else [(0, 1)]:
             out.append(s[g[a][2] : g[b - 1][3]].strip())
     return out
 

@@ -67,13 +67,9 @@ def _packed_pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return posting, lever, learn_and_split(texts, listed_names(spark, sf_dir))
 
 
-def listed_names(spark: SparkSession, sf_dir: str, bound: int = 100_000) -> list[str]:
-    """Listed places whose name itself holds a separating word; an error if there are more than ``bound``, for without them such names would be cut."""
-    ref = table(spark, sf_dir, "location_ref").select(F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array()))).alias("n"))
-    rows = ref.where(F.col("n").rlike(r"(?i)\s(and|&)\s")).distinct().limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"location_ref lists more than {bound} names with a separating word")
-    return sorted(r["n"] for r in rows)
+def listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``name``: the listed places under all their names."""
+    return table(spark, sf_dir, "location_ref").select(F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array()))).alias("name"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,8 @@ def column() -> list[str]:
 
 def split(spark, *texts: str, names=("Stunthorpe and Farancombe",)) -> list[list[str]]:
     df = spark.createDataFrame([(t,) for t in [*column(), *texts]], "text string")
-    got = {r["text"]: r["pieces"] for r in learn_and_split(df, names).collect()}
+    listed = spark.createDataFrame([(n,) for n in [*names, None, "", "A and", "Zavvale"]], "name string")
+    got = {r["text"]: r["pieces"] for r in learn_and_split(df, listed).collect()}
     return [got[t] for t in texts]
 
 
@@ -68,3 +69,14 @@ def test_empty_and_long(spark):
     long = "; ".join(["Burwadi"] * 5000)
     assert len(split(spark, long)[0]) == 5000
     assert atoms("\"unclosed, quote") == [[("", '"unclosed', 0, 9), (",", "quote", 11, 16)]]
+
+
+def test_values_of_many_parts_and_names(spark):
+    """More parts than any bound, and more names than would fit a list to look through."""
+    parts = "Unit Seven, Old Silwadi, Milinan, 560034, IN"
+    texts = [parts.replace("Seven", w) for w in ("One", "Two", "Three", "Four", "Five", "Six", "Seven")]
+    many = [f"Nam{i:04d}ton and Far{i:04d}combe" for i in range(3000)] + ["Stunthorpe and Farancombe"]
+    got = split(spark, *texts, "Nam0077ton & Far0077comb / Zavvale", "Nam1111ton and Far2222combe", names=many)
+    assert got[-2] == ["Nam0077ton & Far0077comb", "Zavvale"] and got[-1] == ["Nam1111ton", "Far2222combe"]
+    for t, g in zip(texts, got[:7], strict=True):
+        assert ", ".join(g) == t and len(g) <= 2 and g[-1].startswith(("Old Silwadi", "Unit")), g

@@ -142,7 +142,7 @@ def test_scores(spark):
     assert r["a"].endswith("w44…") and r["b"] == "x  y" and list(r)[2:] == ["1st", "2nd", "3rd", "4th", "11th", "12th", "13th", "21st", "112th"]
     m = one.select(S.merged_levels(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.array(F.lit("b"), F.lit("c"), F.lit("c"))).alias("m")).first()["m"]
     assert m["levels"] == {"b": 2, "c": 3} and m["added"] == ["c"] and m["removed"] == ["a"]
-    e = S.hashed_embedding(spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "k int, t string"), "k", "t", 8).orderBy("k").collect()
+    e = S.hashed_embedding(spark.createDataFrame([(1, "alpha beta gamma"), (2, None), (3, "")], "k int, t string"), "k", "t", 64).orderBy("k").collect()
     assert sum(x * x for x in e[0]["embedding"]) == pytest.approx(1) and sum(map(abs, e[1]["embedding"])) == 0
 
 
