@@ -3,7 +3,7 @@
 ``parse_amounts`` reads what a text states: amounts, currency, period, the months a lump sum covers. What it doesn't state is predicted by
 a calibrated tree ensemble from magnitude, source settings, kind of record and neighbouring fields (``UnitModel``); an
 exact check follows: a unit stated in the record's other text, or registered for its source, overrules the prediction,
-and a prediction below the confidence needed goes to review.
+and a prediction below the confidence needed goes to review. ``masked_evaluation`` measures the ensemble where that check is hidden from it.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ _NOISE = re.compile(
     re.I,
 )
 _UNPAID = re.compile(r"\bunpaid\b|\bvolunteer\b|\bcommission only\b|\bequity only\b", re.I)
-#: A number above this many units isn't pay.
+#: Amounts above this many units aren't converted: they go to review, for exact products must stay below 2**63.
 MOST = 10**12
 
 
@@ -66,8 +66,11 @@ def period_of(text: str) -> str | None:
     return next((c for c, p in _PER if p.search(text)), None)
 
 
-def parse_amount(text: str | None) -> tuple[int, int, str | None, str | None, int, str] | None:
-    """(min, max in hundredths, currency, period, months of a lump sum or 0, scale word) that ``text`` states; None if no positive amount."""
+def parse_amount(text: str | None) -> tuple[int | None, int | None, str | None, str | None, int, str] | None:
+    """(min, max in hundredths, currency, period, months of a lump sum or 0, scale word) that ``text`` states; None if no positive amount.
+
+    Both amounts are None where one is above ``MOST``.
+    """
     if text is None:
         return None
     t = " ".join(text.replace(" ", " ").replace(" ", " ").split())
@@ -95,8 +98,10 @@ def parse_amount(text: str | None) -> tuple[int, int, str | None, str | None, in
     lo, hi = int(a[0] * a[1] * 100), int(b[0] * b[1] * 100)
     if lo > hi:
         lo, hi = hi, lo
-    if lo <= 0 or hi > MOST * 100:
+    if lo <= 0:
         return None
+    if hi > MOST * 100:
+        lo = hi = None
     cur, per = currency_of(t), period_of(t)
     return lo, hi, cur, per, months if 0 < months < 100 else 0, b[2] or a[2]
 
@@ -104,13 +109,13 @@ def parse_amount(text: str | None) -> tuple[int, int, str | None, str | None, in
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = [(t, *p) for t in pdf["text"] if (p := parse_amount(t))]
-        yield pd.DataFrame(rows, columns=["text", "lo", "hi", "currency", "period", "months", "scale"])
+        yield pd.DataFrame(rows, columns=["text", "lo", "hi", "currency", "period", "months", "scale"]).astype({"lo": "Int64", "hi": "Int64"})
 
 
 def parse_amounts(texts: DataFrame) -> DataFrame:
     """``text, lo, hi, currency, period, months, scale`` for each distinct ``text`` that states a positive amount of pay.
 
-    ``lo`` and ``hi`` are hundredths of the stated unit; units not stated are NULL. NULL, blank and unpaid texts, percentages and years
+    ``lo`` and ``hi`` are hundredths of the stated unit, NULL for amounts above ``MOST``; units not stated are NULL. NULL, blank and unpaid texts, percentages and years
     of experience give no row. Distinct texts are parsed once, in Arrow batches.
     """
     d = texts.select("text").where("text IS NOT NULL AND trim(text) <> ''").distinct()
@@ -159,8 +164,8 @@ class UnitModel:
         self.fitted = None
         classes = [r[0] for r in rows.select("label_text").distinct().orderBy("label_text").collect()]
         self.classes = classes
-        if len(classes) < 2:
-            return
+        if len(classes) < 2 or rows.where("_h % 5 = 0").isEmpty() or rows.where("_h % 5 <> 0").isEmpty():
+            return  # nothing to learn or nothing to calibrate on: no confidence
         stages = [StringIndexer(inputCols=_NAMES, outputCols=[f"{c}_i" for c in _NAMES], handleInvalid="keep")]
         stages.append(VectorAssembler(inputCols=[*_NUMBERS, *[f"{c}_i" for c in _NAMES]], outputCol="features"))
         label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label_text")).cast("double") - 1
@@ -194,32 +199,39 @@ _NAMES = ["origin", "scale_f", "board_currency_f", "board_period_f", "text_curre
 _FEATURES = [*_NUMBERS, *_NAMES]
 
 
-def assign_units(rows: DataFrame, confident: float = 0.9, sample_rows: int = 20_000) -> DataFrame:
-    """``rows`` with both units decided.
-
-    ``rows``: ``origin, record_id, lo, hi, currency, period, months, scale`` (parsed), ``text_currency, text_period`` (other text of the record),
-    ``board_currency, board_period``. Adds ``currency_pred, currency_conf, period_pred, period_conf`` and ``currency_used, period_used, decided_by``:
-    ``field``, ``text``, ``board``, ``model`` or ``review`` (no unit: nothing states it and the model isn't confident).
-    Rows whose field states both units aren't predicted. Empty input gives an empty result.
-    """
-    none = lambda c: F.coalesce(F.col(c), F.lit("none"))
-    x = rows.withColumns(
+def _with_features(rows: DataFrame, hidden: bool = False) -> DataFrame:
+    """The columns that the ensemble reads; ``hidden``: without what boards and other texts state."""
+    none = lambda c: F.lit("none") if hidden else F.coalesce(F.col(c), F.lit("none"))
+    return rows.withColumns(
         {
             "log_lo": F.log10(F.col("lo").cast("double")),
             "is_range": (F.col("hi") > F.col("lo")).cast("double"),
-            "scale_f": F.when(F.col("scale") == "", "none").otherwise(none("scale")),
+            "scale_f": F.when(F.coalesce("scale", F.lit("")) == "", "none").otherwise(F.col("scale")),
             "board_currency_f": none("board_currency"),
             "board_period_f": none("board_period"),
             "text_currency_f": none("text_currency"),
             "text_period_f": none("text_period"),
         }
     )
+
+
+def assign_units(rows: DataFrame, confident: float = 0.9, sample_rows: int = 20_000) -> DataFrame:
+    """``rows`` with both units decided.
+
+    ``rows``: ``origin, record_id, lo, hi, currency, period, months, scale`` (parsed), ``text_currency, text_period`` (other text of the record),
+    ``board_currency, board_period``. Adds ``currency_pred, currency_conf, period_pred, period_conf`` and ``currency_used, period_used, decided_by``.
+    What the field leaves out is predicted; a confident prediction stands unless the check contradicts it: the unit that the other text states, or else
+    the board. ``decided_by``, the last rung at which a unit is stated: ``field``, ``text``, ``board``, ``model`` (it alone) or ``review`` (nothing states the unit and
+    the model isn't confident, or the amount is NULL, being too large). ``model_says``: ``agrees`` (all confident predictions, one at least, are what is used), ``differs`` or ``unsure``.
+    Rows whose field states both units aren't predicted. Empty input gives an empty result.
+    """
+    x = _with_features(rows.where("lo IS NOT NULL"))
     cur, per = UnitModel(x, "currency", sample_rows), UnitModel(x, "period", sample_rows)
     gaps = F.col("currency").isNull() | (F.col("period").isNull() & (F.col("months") == 0))
-    full = x.where(~gaps)
-    for unit in ("currency", "period"):
-        full = full.withColumn(f"{unit}_pred", F.lit(None).cast("string")).withColumn(f"{unit}_conf", F.lit(None).cast("double"))
-    x = full.unionByName(per.predict(cur.predict(x.where(gaps)))).drop(*[c for c in _FEATURES if c != "origin"])
+    blank = lambda df: df.withColumns({f"{u}_{c}": F.lit(None).cast(t) for u in ("currency", "period") for c, t in (("pred", "string"), ("conf", "double"))})
+    x = blank(x.where(~gaps)).unionByName(per.predict(cur.predict(x.where(gaps)))).drop(*[c for c in _FEATURES if c != "origin"])
+    x = x.unionByName(blank(rows.where("lo IS NULL")).select(*x.columns))
+    sure, wrong = [], []
     for u in ("currency", "period"):
         model = F.when(F.col(f"{u}_conf") >= confident, F.col(f"{u}_pred"))
         x = x.withColumn(f"{u}_used", F.coalesce(u, f"text_{u}", f"board_{u}", model))
@@ -227,14 +239,47 @@ def assign_units(rows: DataFrame, confident: float = 0.9, sample_rows: int = 20_
             f"{u}_by",
             F.when(F.col(u).isNotNull(), 0).when(F.col(f"text_{u}").isNotNull(), 1).when(F.col(f"board_{u}").isNotNull(), 2).when(model.isNotNull(), 3).otherwise(4),
         )
+        asked = F.col(u).isNull() & ((F.col("months") == 0) if u == "period" else F.lit(True))
+        sure.append(asked & model.isNotNull())
+        wrong.append(F.coalesce(asked & (model != F.col(f"{u}_used")), F.lit(False)))
     by = F.greatest("currency_by", F.when(F.col("months") > 0, 0).otherwise(F.col("period_by")))
-    return x.withColumn("decided_by", F.array(*[F.lit(v) for v in ("field", "text", "board", "model", "review")])[by]).drop("currency_by", "period_by")
+    by = F.when(F.col("lo").isNull(), 4).otherwise(by)
+    x = x.withColumn("decided_by", F.array(*[F.lit(v) for v in ("field", "text", "board", "model", "review")])[by])
+    x = x.withColumn("model_says", F.when(by == 0, None).when(wrong[0] | wrong[1], "differs").when(sure[0] | sure[1], "agrees").otherwise("unsure"))
+    return x.drop("currency_by", "period_by")
+
+
+def masked_evaluation(rows: DataFrame, sample_rows: int = 20_000) -> DataFrame:
+    """``unit, bin, n, mean_conf, accuracy``: how the ensemble does where it is alone, by tenths of its confidence.
+
+    It is fitted on the rows whose field states the unit, with boards and other texts hidden, and asked about the rows whose field doesn't state it; what their other text
+    or board states is the truth. A calibrated model has about the same ``accuracy`` as ``mean_conf`` in every bin. Rows without a truth aren't counted.
+    """
+    x = _with_features(rows.where("lo IS NOT NULL"), hidden=True)
+    out = None
+    for u in ("currency", "period"):
+        model = UnitModel(x, u, sample_rows)
+        asked = x.where(F.col(u).isNull() & ((F.col("months") == 0) if u == "period" else F.lit(True))).withColumn("_truth", F.coalesce(f"text_{u}", f"board_{u}")).where("_truth IS NOT NULL")
+        y = model.predict(asked).select(F.col(f"{u}_conf").alias("conf"), F.coalesce(F.col(f"{u}_pred") == F.col("_truth"), F.lit(False)).cast("double").alias("right"))
+        y = y.groupBy(F.least(F.floor(F.col("conf") * 10), F.lit(9)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("mean_conf"), F.avg("right").alias("accuracy"))
+        y = y.select(F.lit(u).alias("unit"), "bin", "n", "mean_conf", "accuracy")
+        out = y if out is None else out.union(y)
+    return out
+
+
+def without_factor(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """``rows`` with ``no_factor``: a unit that is decided but that ``factors`` don't hold."""
+    f = factors.select("kind", "unit").distinct()
+    cur, per = (f.where(F.col("kind") == k).select(F.col("unit").alias(f"_{k}")) for k in ("currency", "period"))
+    x = rows.join(cur, F.col("currency_used") == F.col("_currency"), "left").join(per, F.col("period_used") == F.col("_period"), "left")
+    gone = (F.col("currency_used").isNotNull() & F.col("_currency").isNull()) | ((F.col("months") == 0) & F.col("period_used").isNotNull() & F.col("_period").isNull())
+    return x.withColumn("no_factor", gone).drop("_currency", "_period")
 
 
 def to_monthly(rows: DataFrame, factors: DataFrame, target_min: str, target_max: str) -> DataFrame:
     """Whole units of the base currency per month, halves up, in exact integer arithmetic.
 
-    ``factors``: ``kind, unit, num, den``; rows with a unit that has no factor are left out (they are for review). A lump sum is divided by
+    ``factors``: ``kind, unit, num, den``; rows with a unit that has no factor (``without_factor``) and rows for review are left out. A lump sum is divided by
     its months instead of a period's factor. Products stay below 2**63 for amounts up to ``MOST`` hundredths times factors
     of 10**4.
     """
@@ -242,7 +287,7 @@ def to_monthly(rows: DataFrame, factors: DataFrame, target_min: str, target_max:
     cur = f.where("kind = 'currency'").select(F.col("unit").alias("_c"), F.col("num").alias("_cn"), F.col("den").alias("_cd"))
     per = f.where("kind = 'period'").select(F.col("unit").alias("_p"), F.col("num").alias("_pn"), F.col("den").alias("_pd"))
     x = rows.join(cur, F.col("currency_used") == F.col("_c")).join(per, F.col("period_used") == F.col("_p"), "left")
-    x = x.where("months > 0 OR _p IS NOT NULL")
+    x = x.where("lo IS NOT NULL AND (months > 0 OR _p IS NOT NULL)")
     lump = F.col("months") > 0
     num = F.col("_cn") * F.when(lump, F.lit(1).cast("bigint")).otherwise(F.col("_pn"))
     den = F.col("_cd") * F.when(lump, F.col("months").cast("bigint")).otherwise(F.col("_pd")) * 100

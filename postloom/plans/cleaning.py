@@ -11,7 +11,7 @@ from postloom.operators.boards import board_settings
 from postloom.operators.instants import estimate_zones, evidence, normalise_instants, parse_instants
 from postloom.operators.lineage import written
 from postloom.operators.multivalue import explode_values, learn_and_split
-from postloom.operators.pay import assign_units, note_units, parse_amounts, stated_units, to_monthly
+from postloom.operators.pay import assign_units, masked_evaluation, note_units, parse_amounts, stated_units, to_monthly, without_factor
 from postloom.sources.tables import table
 
 #: origin -> (table, its field of problem 4)
@@ -104,7 +104,7 @@ def _pay_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = F.when((F.col("scale") == "") & F.col("note_scale").isNotNull(), F.col("note_scale"))
     for v in ("lo", "hi"):
         c = c.withColumn(v, F.coalesce(F.expr(v) * scaled.cast("bigint") / 100, F.col(v)).cast("bigint"))
-    c = c.where("lo > 0").drop("note_scale").withColumn("board_currency", F.lit("INR")).withColumn("board_period", F.lit("month"))
+    c = c.where("lo > 0 OR lo IS NULL").drop("note_scale").withColumn("board_currency", F.lit("INR")).withColumn("board_period", F.lit("month"))
     return x.unionByName(c)
 
 
@@ -116,16 +116,27 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records for review: no unit could be assigned, or the confident prediction contradicts the unit stated elsewhere."""
-    x = assign_units(written(_pay_rows(spark, sf_dir)))
-    against = [(F.col(f"{u}_conf") >= 0.9) & (F.col(f"{u}_pred") != F.col(f"{u}_used")) for u in ("currency", "period")]
-    return x.where((F.col("decided_by") == "review") | F.coalesce(against[0], F.lit(False)) | F.coalesce(against[1], F.lit(False))).select(
+    """Records for review: no unit could be assigned, none has a factor, the amount is too large, or the confident prediction contradicts the unit stated elsewhere."""
+    x = without_factor(assign_units(written(_pay_rows(spark, sf_dir))), table(spark, sf_dir, "unit_factor"))
+    against = [F.coalesce((F.col(f"{u}_conf") >= 0.9) & (F.col(f"{u}_pred") != F.col(f"{u}_used")), F.lit(False)) for u in ("currency", "period")]
+    return x.where((F.col("decided_by") == "review") | F.col("no_factor") | against[0] | against[1]).select(
         "origin", "record_id", "currency_used", "currency_pred", F.round("currency_conf", 4).alias("currency_conf"),
-        "period_used", "period_pred", F.round("period_conf", 4).alias("period_conf"), "decided_by",
+        "period_used", "period_pred", F.round("period_conf", 4).alias("period_conf"), F.when(F.col("no_factor"), "no_factor").otherwise(F.col("decided_by")).alias("decided_by"),
     )
 
 
+def p2_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records each rung decides, and what the model says of them."""
+    return assign_units(written(_pay_rows(spark, sf_dir))).groupBy("origin", "decided_by", "model_says").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p2_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of the ensemble by its confidence, with boards and other texts hidden from it."""
+    x = masked_evaluation(written(_pay_rows(spark, sf_dir)))
+    return x.select("unit", "bin", "n", F.round("mean_conf", 4).alias("mean_conf"), F.round("accuracy", 4).alias("accuracy"))
+
+
 QUERIES = {
     "p2_found": p2_found,
-    "p2_review": p2_review,
+    "p2_review": p2_review, "p2_decisions": p2_decisions, "p2_calibration": p2_calibration,
     "p4_found": p4_found, "p4_zone_estimates": p4_zone_estimates, "p5_found": p5_found}

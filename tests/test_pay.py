@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.operators.pay import assign_units, note_units, parse_amount, parse_amounts, stated_units, to_monthly
+from postloom.operators.pay import assign_units, masked_evaluation, note_units, parse_amount, parse_amounts, stated_units, to_monthly, without_factor
 
 CASES = [  # text -> low, high in units, currency, period, months
     ("₹60 K/month", 60_000, 60_000, "INR", "month", 0),
@@ -99,3 +99,29 @@ def test_empty(spark):
     x = assign_units(spark.createDataFrame([], ROW))
     assert to_monthly(x, spark.createDataFrame(FACTORS, "kind string, unit string, num bigint, den bigint"), "a", "b").count() == 0
     assert parse_amounts(spark.createDataFrame([(None,), ("",), ("x" * 200_000,)], "text string")).count() == 0
+
+
+def test_too_large_and_without_factor_go_to_review(spark):
+    assert parse_amount("INR 9,999,999,999,999,999 per month")[:2] == (None, None)
+    p = parse_amounts(spark.createDataFrame([("INR 99999999999999999999999 per month",), ("INR 5 per month",)], "text string"))
+    assert {(r["lo"], r["currency"]) for r in p.collect()} == {(None, "INR"), (500, "INR")}
+    rows = [("a", 1, None, None, "INR", "month", 0, "", None, None, None, None), ("a", 2, 500, 500, "CHF", "month", 0, "", None, None, None, None), ("a", 3, 500, 500, "INR", None, 3, "", None, None, None, None)]
+    f = spark.createDataFrame(FACTORS, "kind string, unit string, num bigint, den bigint")
+    x = assign_units(spark.createDataFrame(rows, ROW))
+    assert {r["record_id"]: (r["decided_by"], r["no_factor"]) for r in without_factor(x, f).collect()} == {1: ("review", False), 2: ("field", True), 3: ("field", False)}
+    assert [r["record_id"] for r in to_monthly(x, f, "a", "b").collect()] == [3]
+
+
+def test_masked_model_is_calibrated(spark):
+    """Where boards and texts are hidden, the confidence is about the share of right answers."""
+    r = random.Random(9)
+    rows = []
+    for i in range(3000):
+        cur, per, mid = r.choice([("USD", "year", 90_000), ("INR", "month", 60_000), ("INR", "month", 70_000), ("JPY", "month", 400_000)])
+        lo = int(mid * r.uniform(0.5, 1.9) * 100)
+        hide = i % 4 == 0
+        rows.append(("a", i, lo, lo, None if hide else cur, None if hide else per, 0, "", None, None, cur, per))
+    bins = masked_evaluation(spark.createDataFrame(rows, ROW)).collect()
+    assert sum(b["n"] for b in bins if b["unit"] == "currency") == 750
+    for b in bins:
+        assert b["n"] < 60 or abs(b["mean_conf"] - b["accuracy"]) < 0.12, b
