@@ -2,7 +2,8 @@
 
 Token-level repair: each distinct token of the values is joined to the vocabulary of the reference names within a small edit distance (both sides
 emit their deletions, equal deletions meet, the distance is verified). The repaired tokens vote for the names that hold them, at the place where
-they stand; a name's score is its soft TF-IDF: the weights of its tokens times their similarity, over all its weight. The
+they stand; a name's score is its soft TF-IDF: the weights of its tokens times their similarity, over all its weight. Only names of which a text holds one
+of the rare words without which the score can't be reached are looked at, so a word that many names share ("new", "san") brings up none by itself. The
 best non-overlapping names of a value are its entries; of names that several entries share, the words around decide.
 """
 
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.operators.lineage import written
@@ -32,8 +33,9 @@ COUNTRY_WORDS = {
 SHORT = {"n": "north", "s": "south", "e": "east", "w": "west", "ft": "fort", "mt": "mount", "st": "saint", "gt": "great", "pt": "port"}
 #: Words around a name that say nothing about where it is.
 _ASIDE = frozenset("remote hybrid onsite office hq area metro metropolitan city wfo wfh near greater downtown region based in the district".split())
-#: Longest token whose deletions are emitted; a longer one must be equal.
+#: Longest token whose deletions are emitted; longer ones meet by the segments that edits leave whole.
 LONGEST = 40
+_EDITS = 2
 
 
 def fold(text: str) -> str:
@@ -62,11 +64,30 @@ def most_edits(n: int, longer: bool = False) -> int:
 
 
 def deletions(token: str, k: int) -> set[str]:
-    if len(token) > LONGEST:
-        return {token}
     return {"".join(c for i, c in enumerate(token) if i not in cut) for n in range(k + 1) for cut in combinations(range(len(token)), n)}
 
 
+def _segments(n: int) -> list[tuple[int, int]]:
+    """Even parts (start, length) of a word of ``n`` letters, one of which ``_EDITS`` edits leave whole: a transposition may touch two."""
+    parts = 2 * _EDITS + 1
+    cut = [n * i // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def segment_keys(word: str) -> set[str]:
+    """Keys of a long word of the vocabulary."""
+    return {f"{len(word)}|{i}|{word[a : a + n]}" for i, (a, n) in enumerate(_segments(len(word)))}
+
+
+def segment_probes(token: str) -> set[str]:
+    """Keys of all words within ``_EDITS`` of a long token."""
+    out = set()
+    for m in range(len(token) - _EDITS, len(token) + _EDITS + 1):
+        for i, (a, n) in enumerate(_segments(m)):
+            out |= {f"{m}|{i}|{token[at : at + n]}" for at in range(max(0, a - _EDITS), min(len(token) - n, a + _EDITS) + 1)}
+    return out
+
+
 def osa(a: str, b: str, most: int) -> int:
     """Edit distance with transpositions, or most + 1."""
     if abs(len(a) - len(b)) > most:
@@ -88,8 +109,13 @@ def osa(a: str, b: str, most: int) -> int:
 
 def _token_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(t, i, w, d) for t in pdf["text"] for i, (w, d, _) in enumerate(tokens(t))]
-        yield pd.DataFrame(rows, columns=["text", "pos", "token", "dot"]).astype({"pos": "int32", "dot": "bool"})
+        rows = []
+        for t in pdf["text"]:
+            before = ""
+            for i, (w, d, hard) in enumerate(tokens(t)):
+                rows.append((t, i, w, d, "" if hard else before))
+                before = w
+        yield pd.DataFrame(rows, columns=["text", "pos", "token", "dot", "prev"]).astype({"pos": "int32", "dot": "bool"})
 
 
 def _name_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +133,7 @@ def _typed_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for t, dot in zip(pdf["token"], pdf["dot"], strict=True):
-            rows += [(t, dot, k) for k in deletions(t, most_edits(len(t) + 1, True))]
+            rows += [(t, dot, k) for k in (deletions(t, most_edits(len(t) + 1, True)) if len(t) <= LONGEST else segment_probes(t))]
             if dot and len(t) >= 4:
                 rows.append((t, dot, f"{t}."))
         yield pd.DataFrame(rows, columns=["token", "dot", "key"]).astype({"dot": "bool"})
@@ -117,7 +143,10 @@ def _vocabulary_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for w, longer in zip(pdf["word"], pdf["longer"], strict=True):
-            rows += [(w, longer, k) for k in deletions(w, most_edits(len(w), longer))]
+            if len(w) <= LONGEST + _EDITS:
+                rows += [(w, longer, k) for k in deletions(w, most_edits(len(w), longer))]
+            if len(w) >= LONGEST - _EDITS:
+                rows += [(w, longer, k) for k in segment_keys(w)]
             rows += [(w, longer, f"{w[:n]}.") for n in range(4, len(w))]
         yield pd.DataFrame(rows, columns=["word", "longer", "key"]).astype({"longer": "bool"})
 
@@ -139,7 +168,7 @@ def _similarity(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repair_tokens(typed: DataFrame, words: DataFrame) -> DataFrame:
     """``token, dot, word, sim, edits``: each distinct typed token with every word of the vocabulary within its edit distance.
 
-    ``typed``: ``token, dot`` (a dot follows: the token may be the start of a word); ``words``: ``word, longer``. An equi-join on deletions; short words must be equal.
+    ``typed``: ``token, dot`` (a dot follows: the token may be the start of a word); ``words``: ``word, longer``. An equi-join on deletions, of tokens beyond ``LONGEST`` letters on segments; short words must be equal.
     """
     a = typed.distinct().mapInPandas(_typed_keys, "token string, dot boolean, key string")
     b = words.groupBy("word").agg(F.bool_or("longer").alias("longer")).mapInPandas(_vocabulary_keys, "word string, longer boolean, key string")
@@ -147,20 +176,17 @@ def repair_tokens(typed: DataFrame, words: DataFrame) -> DataFrame:
     return pairs.mapInPandas(_similarity, "token string, dot boolean, word string, sim double, edits int")
 
 
-def _resolver(qualifiers: frozenset[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, ids = [], []
-            for text, found in zip(pdf["text"], pdf["found"], strict=True):
-                for i in choose(text, list(found), qualifiers):
-                    texts.append(text)
-                    ids.append(i)
-            yield pd.DataFrame({"text": texts, "entry_id": pd.Series(ids, dtype="int64")})
-
-    return run
+def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        texts, ids = [], []
+        for text, found in zip(pdf["text"], pdf["found"], strict=True):
+            for i in choose(text, list(found)):
+                texts.append(text)
+                ids.append(i)
+        yield pd.DataFrame({"text": texts, "entry_id": pd.Series(ids, dtype="int64")})
 
 
-def choose(text: str, found: list[dict], qualifiers: frozenset[str]) -> list[int]:
+def choose(text: str, found: list[dict]) -> list[int]:
     """Entries of one value: best names first, no two on the same tokens; entries of equal names by the words around."""
     ts = tokens(text)
     spans: dict[tuple[int, int], list[dict]] = {}
@@ -170,8 +196,6 @@ def choose(text: str, found: list[dict], qualifiers: frozenset[str]) -> list[int
             continue
         if any(ts[i][2] and ts[i][0] not in ("and", "&") and ts[i - 1][0] != "and" for i in range(a + 1, b)):
             continue  # a name doesn't run across values
-        if a > 0 and f["n"] == 1 and not ts[a][2] and ts[a - 1][0] in qualifiers:
-            continue  # "New X" is another place than X
         spans.setdefault((a, b), []).append(f)
     order = sorted(spans, key=lambda s: (-max(f["score"] * f["weight"] for f in spans[s]), s))
     taken: list[tuple[int, int]] = []
@@ -218,20 +242,25 @@ def map_values(values: DataFrame, entries: DataFrame, least: float = 0.62) -> Da
     df = names.select("name", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     idf = df.select("word", F.log(1 + F.lit(float(n_names)) / F.col("df")).alias("idf"))
     names = names.join(idf, "word")
-    weight = names.groupBy("entry_id", "name").agg(F.sum("idf").alias("weight"))
-    # first words of several longer names, such as New or Old: bounded by half the number of names
-    first = names.where("idx = 0 AND n > 1").select("name", "word").distinct().groupBy("word").count().where("count > 1")
-    qualifiers = frozenset(r["word"] for r in first.collect())
-    toks = texts.mapInPandas(_token_rows, "text string, pos int, token string, dot boolean")
+    # rarest words first: those up to which the rest of the name weighs too little for ``least`` anchor it
+    by_rarity = Window.partitionBy("entry_id", "name").orderBy(F.desc("idf"), "idx")
+    names = names.withColumn("weight", F.sum("idf").over(Window.partitionBy("entry_id", "name"))).withColumn("_w", F.sum("idf").over(by_rarity.rowsBetween(Window.unboundedPreceding, 0)))
+    names = written(names.withColumn("anchor", F.col("_w") - F.col("idf") <= F.col("weight") * (1 - least) + 1e-9).drop("_w"))
+    toks = texts.mapInPandas(_token_rows, "text string, pos int, token string, dot boolean, prev string")
+    # a name of one word after the first word of several longer names, such as New or Old, is another place
+    first = names.where("idx = 0 AND n > 1").select("name", "word").distinct().groupBy("word").count().where("count > 1").select(F.col("word").alias("prev"), F.lit(True).alias("qualified"))
     fixed = repair_tokens(toks.select("token", "dot"), names.select("word", (F.col("n") > 1).alias("longer")))
-    votes = toks.join(fixed, ["token", "dot"]).join(names, "word")
+    read = written(toks.join(first, "prev", "left").join(fixed, ["token", "dot"]).select("text", "pos", "word", "sim", "edits", F.coalesce("qualified", F.lit(False)).alias("qualified")))
     size = F.length("word")
-    votes = votes.where((F.col("n") > 1) | (F.col("edits") <= F.when(size < 5, 0).when(size < 8, 1).otherwise(2)))
-    votes = votes.groupBy("text", "entry_id", "name", "n", (F.col("pos") - F.col("idx")).alias("start")).agg(F.sum(F.col("idf") * F.col("sim")).alias("s"), F.sum("edits").alias("edits"))
-    votes = votes.where("edits <= 2")
-    votes = votes.join(weight, ["entry_id", "name"]).withColumn("score", F.col("s") / F.col("weight")).where(F.col("score") >= least)
+    own = (F.col("n") > 1) | (~F.col("qualified") & (F.col("edits") <= F.when(size < 5, 0).when(size < 8, 1).otherwise(2)))
+    cand = read.join(names.where("anchor").select("entry_id", "name", "n", "idx", "word"), "word").where(own)
+    cand = cand.select("text", "entry_id", "name", (F.col("pos") - F.col("idx")).alias("start")).distinct()
+    wanted = cand.join(names.select("entry_id", "name", "n", "idx", "word", "idf", "weight"), ["entry_id", "name"]).withColumn("pos", F.col("start") + F.col("idx"))
+    votes = wanted.join(read, ["text", "pos", "word"])
+    votes = votes.groupBy("text", "entry_id", "name", "n", "start", "weight").agg(F.sum(F.col("idf") * F.col("sim")).alias("s"), F.sum("edits").alias("edits"))
+    votes = votes.where("edits <= 2").withColumn("score", F.col("s") / F.col("weight")).where(F.col("score") >= least)
     votes = votes.join(ref.drop("names"), "entry_id")
     found = F.collect_list(F.struct("entry_id", "start", "n", "score", "weight", "region", "region_code", "country", "country_name"))
-    chosen = written(votes.groupBy("text").agg(found.alias("found")).mapInPandas(_resolver(qualifiers), "text string, entry_id bigint"))
+    chosen = written(votes.groupBy("text").agg(found.alias("found")).mapInPandas(_resolve, "text string, entry_id bigint"))
     none = texts.join(chosen.select("text").distinct(), "text", "left_anti")
     return chosen.union(none.select("text", F.lit(-1).cast("bigint")))

@@ -57,6 +57,25 @@ def test_token_repair_against_brute_force(spark):
     assert got == {(t, w) for t in set(typed) if t for w in set(words) if osa(t, w, most(len(w))) <= most(len(w))}
 
 
+def test_long_tokens_and_shared_words(spark):
+    """Words beyond the length whose deletions are emitted are repaired as well; a word of all names brings up none by itself."""
+    r = random.Random(3)
+    long = "".join(r.choice("abcdefgh") for _ in range(60))
+    edited = [long, long[:10] + "x" + long[10:], long[:20] + long[21:], long[:11] + long[12] + long[11] + long[13:40] + long[41:], "y" + long[1:]]
+    rows = [(1, [long], "R", "RR", "IN", "India"), *[(i, [f"Comn Wod{i:02d}elkar"], "R", "RR", "IN", "India") for i in range(2, 60)]]
+    df = spark.createDataFrame([(t,) for t in [*edited, long[::-1], "Comn", "Comn Wod07elkar", "Comn Wod08elkr"]], "text string")
+    got = {r["text"]: r["entry_id"] for r in map_values(df, entries(spark, rows)).collect()}
+    assert [got[t] for t in edited] == [1] * 5
+    assert (got[long[::-1]], got["Comn"], got["Comn Wod07elkar"], got["Comn Wod08elkr"]) == (-1, -1, 7, 8)
+    r = random.Random(8)
+    words = ["".join(r.choice("abcd") for _ in range(r.randint(36, 48))) for _ in range(25)]
+    typed = {w[:i] + r.choice(["", "a", w[i : i + 2][::-1] + "b"]) + w[i + r.choice([0, 1, 2]) :] for w in words for i in (3, 17, 33)}
+    a = spark.createDataFrame([(t, False) for t in typed], "token string, dot boolean")
+    b = spark.createDataFrame([(w, False) for w in words], "word string, longer boolean")
+    pairs = {(x["token"], x["word"]) for x in repair_tokens(a, b).collect()}
+    assert pairs == {(t, w) for t in typed for w in words if osa(t, w, 2) <= 2} and len(pairs) > 40
+
+
 @pytest.mark.parametrize(("a", "b", "d"), [("abcd", "abcd", 0), ("abcd", "abdc", 1), ("abcd", "abc", 1), ("abcd", "xbcdy", 2), ("abcd", "dcba", 3)])
 def test_osa(a, b, d):
     assert osa(a, b, 2) == min(d, 3)
