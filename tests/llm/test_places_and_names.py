@@ -119,6 +119,24 @@ def test_moved_letters_tie_well_attested_keys(spark):
     assert len(x) == 6 and len({r["class"] for r in x}) == 1
 
 
+@pytest.mark.parametrize("times", [1, 12])
+def test_typos_at_two_sizes(spark, times):
+    """A typo is tied to its name, and two well attested names stay apart, however many spellings there are of each."""
+    dress = ["", " Ltd", " Inc", " LLC", " GmbH", " Group", " Careers", " Hiring", " Team", " plc"]
+    spelt = lambda key, n: [f"{key[: 3 + i // len(dress)]}{'.' * (i >= len(dress))}{key[3 + i // len(dress) :]}{dress[i % len(dress)]}" if i < len(dress) else f'"{key}"' + " " * (i - len(dress)) + dress[i % len(dress)] for i in range(n)]
+    rows = [*spelt("Brandexolm", 10 * times), *spelt("Brandexxolm", times), *spelt("Kolvanther", 9 * times), *spelt("Kolvanthor", 8 * times)]
+    x = {r["name"]: r["class"] for r in link_names(spark.createDataFrame([(n,) for n in rows], "name string")).collect()}
+    assert len(x) == len(set(rows))
+    assert len({x[n] for n in rows if "olm" in n}) == 1
+    assert x["Kolvanther"] != x["Kolvanthor"]
+
+
+def test_words_in_any_order(spark):
+    rows = [(n,) for n in ("Abrel Tovin Mesk", "Mesk Abrel Tovin", "Tovin Mesk Abrel", "Abrel Tovin", "Mesk")]
+    x = {r["name"]: r["class"] for r in link_names(spark.createDataFrame(rows, "name string")).collect()}
+    assert len({x[n] for n, in rows[:3]}) == 1 and len(set(x.values())) == 3
+
+
 def test_segment_join_against_brute_force(spark):
     r = random.Random(9)
     keys = list({"".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(150)})
