@@ -148,6 +148,31 @@ def test_edited_passages_reach_recall(spark):
     assert len(got & want) >= 0.9 * len(want) and got <= want
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_recall_of_three_mixed_edits_in_documents(spark):
+    """Passages of 24 words with three insertions, deletions or substitutions, put into documents: nine of ten are found with the parameters of p7_near."""
+    r = random.Random(5)
+    items = [(x["item_id"], W(x["body"])) for x in spark.read.parquet("/root/testdata/sf0.001/golden_item.parquet").collect()]
+    items = [(i, w) for i, w in items if len(w) >= 24]
+    docs = [W(x["text"]) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en'").collect()]
+    vocab = [w for d in docs for w in d]
+    rows, want = [], set()
+    for k in range(300):
+        i, w = r.choice(items)
+        s = r.randrange(len(w) - 23)
+        p = list(w[s : s + 24])
+        for _ in range(3):
+            at, kind = r.randrange(len(p)), r.randrange(3)
+            p[at : at + (kind != 1)] = [] if kind == 2 else [r.choice(vocab)]
+        d = r.choice(docs)
+        at = r.randrange(len(d) + 1)
+        rows.append((k, " ".join(d[:at] + p + d[at:])))
+        want.add((k, i))
+    x = leaked_items(spark.createDataFrame(rows, "d bigint, t string"), "d", "t", spark.createDataFrame([(i, " ".join(w)) for i, w in items], "i bigint, b string"), "i", "b", width=24, max_edits=3, walks=16, places=5)
+    got = {tuple(y) for y in x.distinct().collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_edits():
     assert edits_within(list("abcd"), list("abxd"), 1) and not edits_within(list("abcd"), list("axxd"), 1) and edits_within([], [], 0)
     assert ItemIndex([], 12, 1, 8).hits(*word_hashes(["a b c " * 9])).shape == (0, 2)
