@@ -76,7 +76,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of 24 words of an item with at most three word edits."""
-    x = leaked_items(spread_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", table(spark, sf_dir, "golden_item"), "item_id", "body", width=24, max_edits=3, walks=16, places=5)
+    x = leaked_items(spread_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", table(spark, sf_dir, "golden_item"), "item_id", "body", width=24, max_edits=3, walks=6, places=5, samples=4)
     return x.select("doc_id", F.col("item_id").cast("int").alias("item_id")).distinct()
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.llm.leak import ItemIndex, edits_within, leaked_items
+from postloom.llm.leak import ItemIndex, edits_within, leaked_items, prefix_within
 from postloom.llm.mixture import mix_sources, sainte_lague
 from postloom.llm.near_dup import _compare, candidate_pairs, expand_copies, similar_pairs
 from postloom.llm.split_text import boundaries, cores, pieces, split_oversized
@@ -168,11 +168,19 @@ def test_recall_of_three_mixed_edits_in_documents(spark):
         at = r.randrange(len(d) + 1)
         rows.append((k, " ".join(d[:at] + p + d[at:])))
         want.add((k, i))
-    x = leaked_items(spark.createDataFrame(rows, "d bigint, t string"), "d", "t", spark.createDataFrame([(i, " ".join(w)) for i, w in items], "i bigint, b string"), "i", "b", width=24, max_edits=3, walks=16, places=5)
+    x = leaked_items(spark.createDataFrame(rows, "d bigint, t string"), "d", "t", spark.createDataFrame([(i, " ".join(w)) for i, w in items], "i bigint, b string"), "i", "b", width=24, max_edits=3, walks=6, places=5, samples=4)
     got = {tuple(y) for y in x.distinct().collect()}
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_prefixes_within_edits():
+    r = random.Random(4)
+    for _ in range(3000):
+        y, t = [r.choice("ab") for _ in range(r.randint(0, 6))], [r.choice("ab") for _ in range(r.randint(0, 9))]
+        most = r.randint(0, 3)
+        assert prefix_within(t, y, most) == any(edits_within(t[:n], y, most) for n in range(len(t) + 1)), (t, y, most)
+
+
 def test_edits():
     assert edits_within(list("abcd"), list("abxd"), 1) and not edits_within(list("abcd"), list("axxd"), 1) and edits_within([], [], 0)
     assert ItemIndex([], 12, 1, 8).hits(*word_hashes(["a b c " * 9])).shape == (0, 2)
