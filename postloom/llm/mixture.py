@@ -1,8 +1,9 @@
 """Mixing sources to target weights (problem 8).
 
 Sainte-Lague apportionment hands the tokens of the total to the sources, one by one to the highest quotient share / (2 n + 1) in
-effect, no source beyond its records times its repeats; within a source the tokens go to shards of bounded size the same way. Nothing is
-floored to larger units, so neither a small source nor a small shard loses its part as the total grows. A shard puts its records in
+effect, no source beyond its records times its repeats; within a source each shard of bounded size gets its exact share of the quota in tokens, the tokens that
+rounding leaves over going to the largest fractions. Nothing is floored to larger units, so neither a small source nor a small shard loses its part as the total grows,
+and only sums per source reach the driver. A shard puts its records in
 seeded order and takes them until its tokens are reached; whole passes come first, so repeats differ by at most one within a shard.
 """
 
@@ -57,6 +58,19 @@ def sainte_lague(weights: dict, seats: int, most: dict | None = None) -> dict:
     return got
 
 
+def shard_quotas(shards: DataFrame) -> DataFrame:
+    """``source, shard, quota, have`` of ``source, shard, avail, tokens, have``: the tokens of each source over its shards, in proportion to what they have.
+
+    Every shard gets the whole part of tokens * have / avail; the tokens left over, fewer than there are shards, go one each to the largest remainders (ties: the smaller
+    shard). The quotas of a source add up to its tokens, and no shard gets more than its part of the source's repeats, rounded up. In exact integer arithmetic.
+    """
+    exact = F.col("tokens").cast("decimal(19,0)") * F.col("have").cast("decimal(19,0)")
+    x = shards.withColumn("_e", exact).withColumn("_base", F.expr("_e div avail")).withColumn("_rest", F.expr("cast(_e - cast(_base as decimal(19,0)) * avail as bigint)"))
+    w = Window.partitionBy("source")
+    x = x.withColumn("_left", F.col("tokens") - F.sum("_base").over(w)).withColumn("_rank", F.row_number().over(w.orderBy(F.desc("_rest"), "shard")))
+    return x.select("source", "shard", (F.col("_base") + (F.col("_rank") <= F.col("_left")).cast("bigint")).alias("quota"), "have")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str,
@@ -73,20 +87,16 @@ def mix_sources(
     ``targets``: ``source, target_share, max_repeats``, a bounded table. Shares are taken among the sources that have both a target and
     tokens; sources without a target aren't used, targets without records are reported with zero. ``total_tokens`` NULL is
     the largest total at which every source can fill its share within its repeats. With a larger total the sources at their limit leave the
-    rest to the others. Records without text have no tokens and aren't used; a NULL source has no target. The driver holds one row per source
-    and shard (tokens / ``shard_tokens`` rows in all). A shard's records (about ``shard_tokens`` tokens) are ordered in one task; a source
+    rest to the others. Records without text have no tokens and aren't used; a NULL source has no target. The driver holds one row per
+    target; shards (tokens / ``shard_tokens`` rows) stay in a table. A shard's records (about ``shard_tokens`` tokens) are ordered in one task; a source
     of a third of all rows has a third of all shards.
     """
     t = targets.select(F.col("source").alias("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).dropDuplicates(["source"])
     wanted = docs.join(t.where("target_share > 0 AND max_repeats > 0").select(F.col("source").alias(source)), source, "left_semi")
     counted = written(count_tokens(wanted, [F.col(id_col).alias("id"), F.col(source).alias("source")], text, vocabulary).where("n_tokens > 0"))
     spark = docs.sparkSession
-    avail = {r["source"]: r["n"] for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    # each source has shards by its own size: a shard of a small source is as large as one of a large source
-    shards = spark.createDataFrame([(s, max(1, math.ceil(n / shard_tokens))) for s, n in avail.items()], "source string, shards int")
-    counted = counted.withColumn("h", F.xxhash64(F.lit(seed), F.col("id").cast("string"))).join(F.broadcast(shards), "source")
-    counted = counted.withColumn("shard", F.pmod("h", F.col("shards")).cast("int")).drop("shards")
-    have = {(r["source"], r["shard"]): (r["n"], r["c"]) for r in counted.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("c")).collect()}
+    sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("c")).collect()
+    avail, docs_of = {r["source"]: r["n"] for r in sums}, {r["source"]: r["c"] for r in sums}
     goal = {r["source"]: r for r in t.collect()}
     shares = {s: Fraction(goal[s]["target_share"]).limit_denominator(10**9) for s in avail}
     if shares:
@@ -97,13 +107,13 @@ def mix_sources(
         quota = sainte_lague(shares, total, limit)
     else:
         quota = {}
-    rows = []
-    for s, tokens in quota.items():
-        own = {k: n for (x, k), (n, _) in have.items() if x == s}
-        got = sainte_lague({k: Fraction(n) for k, n in own.items()}, tokens, {k: n * goal[s]["max_repeats"] for k, n in own.items()})
-        rows += [(s, k, q, own[k]) for k, q in got.items()]
-    plan = spark.createDataFrame(rows, "source string, shard int, quota bigint, have bigint")
-    x = counted.join(plan.where("quota > 0"), ["source", "shard"])
+    # each source has shards by its own size: a shard of a small source is as large as one of a large source
+    parts = [(s, max(1, math.ceil(n / shard_tokens)), n, quota[s]) for s, n in avail.items()]
+    parts = F.broadcast(spark.createDataFrame(parts, "source string, shards int, avail bigint, tokens bigint"))  # one row per target
+    counted = counted.withColumn("h", F.xxhash64(F.lit(seed), F.col("id").cast("string"))).join(parts, "source")
+    counted = counted.withColumn("shard", F.pmod("h", F.col("shards")).cast("int"))
+    plan = shard_quotas(counted.groupBy("source", "shard", "avail", "tokens").agg(F.sum("n_tokens").alias("have")))
+    x = counted.drop("shards", "avail", "tokens").join(plan.where("quota > 0"), ["source", "shard"])
     order = Window.partitionBy("source", "shard").orderBy("h", "id")
     x = x.withColumn("before", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     x = x.withColumn("passes", F.expr("quota div have")).withColumn("rest", F.expr("quota % have"))
@@ -114,7 +124,7 @@ def mix_sources(
     mixture = x.select("id", "source", "shard", "n_tokens", "uses")
     used = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mixed_tokens"), F.max("uses").alias("largest_use"))
     stated = spark.createDataFrame(
-        [(s, goal[s]["target_share"], goal[s]["max_repeats"], sum(c for (x, _), (_, c) in have.items() if x == s), avail.get(s, 0), quota.get(s, 0)) for s in goal],
+        [(s, goal[s]["target_share"], goal[s]["max_repeats"], docs_of.get(s, 0), avail.get(s, 0), quota.get(s, 0)) for s in goal],
         "source string, target_share double, max_repeats int, n_docs bigint, available_tokens bigint, quota_tokens bigint",
     )
     x = stated.join(used, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))

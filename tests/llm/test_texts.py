@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom.llm.leak import ItemIndex, edits_within, leaked_items, prefix_within
-from postloom.llm.mixture import mix_sources, sainte_lague
+from postloom.llm.mixture import mix_sources, sainte_lague, shard_quotas
 from postloom.llm.near_dup import _compare, candidate_pairs, expand_copies, similar_pairs
 from postloom.llm.split_text import boundaries, cores, pieces, split_oversized
 from postloom.llm.tokenizer import VOCABULARY, load
@@ -206,6 +206,23 @@ def test_sainte_lague_against_the_definition():
         assert all(got[k] <= most.get(k, 10**9) for k in w)
 
 
+def test_shard_quotas_add_up_and_follow_the_shards(spark):
+    r = random.Random(12)
+    rows, want = [], {}
+    for s, n in (("a", 400), ("b", 3), ("c", 1), ("d", 50)):
+        have = [r.randint(1, 10**12 if s == "a" else 40) for _ in range(n)]
+        tokens = r.randint(1, 3 * sum(have))
+        want[s] = (tokens, sum(have))
+        rows += [(s, i, sum(have), tokens, h) for i, h in enumerate(have)]
+    got = shard_quotas(spark.createDataFrame(rows, "source string, shard int, avail bigint, tokens bigint, have bigint")).collect()
+    assert len(got) == len(rows)
+    for s, (tokens, avail) in want.items():
+        own = [g for g in got if g["source"] == s]
+        assert sum(g["quota"] for g in own) == tokens
+        assert all(abs(g["quota"] * avail - tokens * g["have"]) < avail for g in own)
+    assert shard_quotas(spark.createDataFrame([], "source string, shard int, avail bigint, tokens bigint, have bigint")).count() == 0
+
+
 @needs_vocabulary
 def test_mixture(spark):
     rows = [(i, s, f"word number {i} " * (1 + i % 7)) for s, n in (("a", 300), ("b", 60), ("c", 20), ("no_target", 50)) for i in range(1000 * ord(s[0]), 1000 * ord(s[0]) + n)]
