@@ -11,7 +11,7 @@ from postloom.operators.lineage import shared_dir
 from postloom.plans.queues import BUDGET_SQL, TOKEN_SQL
 from postloom.plans.texts import _unescape_sql
 from postloom.sources.alerts import alert_postings, robots_allowed, robots_rules
-from postloom.sources.payloads import corrupt_pages, parse_pages, valid_pages
+from postloom.sources.payloads import DAY, RFC3339, corrupt_pages, parse_pages, valid_pages
 from postloom.sources.tables import table
 from postloom.streaming import feeds
 
@@ -20,6 +20,20 @@ SQL: dict[str, str] = {}
 PAGE = 40
 
 
+def _posted_sql(c: str) -> str:
+    """Microseconds of a moment in the notation of payloads."""
+    part = lambda i: f"regexp_extract({c}, '^(.{{10}})T(.{{8}})(?:\\.(\\d+))?(?:Z|([+-])(\\d{{2}}):(\\d{{2}}))$', {i})"
+    minutes = f"(TRY_CAST({part(5)} AS BIGINT) * 60 + TRY_CAST({part(6)} AS BIGINT))"
+    return (
+        f"CASE WHEN regexp_matches({c}, {_quoted(RFC3339)}) THEN epoch_us(TRY_CAST({part(1)} || ' ' || {part(2)} AS TIMESTAMP)) + rpad({part(3)}[1:6], 6, '0')::BIGINT"
+        f" - CASE {part(4)} WHEN '' THEN 0 WHEN '-' THEN -{minutes} ELSE {minutes} END * 60000000 END"
+    )
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def query(sql: str | None = None):
     def add(f):
         Q[f.__name__] = f
@@ -53,11 +67,11 @@ _C = lambda c: f"coalesce({c}, '')"
 
 @query(
     f"SELECT coalesce(id::VARCHAR, '') AS external_id, {_C('title')} AS title_raw, {_C('absolute_url')} AS url, {_C('absolute_url')} AS apply_url, {_C('departments[1]')} AS department, '' AS employment_type_raw, {_C('location_name')} AS location_raw, false AS remote_hint,"
-    f" {_C('company_name')} AS company_name_raw, sha256({_unescape_sql(_C('content'))}) AS description FROM greenhouse_job"
+    f" {_C('company_name')} AS company_name_raw, sha256({_unescape_sql(_C('content'))}) AS description, {_posted_sql(_C('updated_at'))} AS posted_us FROM greenhouse_job"
 )
 def parse_greenhouse(spark, d):
     x = parse_pages(greenhouse_pages(spark, d), "greenhouse")
-    return x.select(*_OUT, "company_name_raw", F.sha2("description_html", 256).alias("description"))
+    return x.select(*_OUT, "company_name_raw", F.sha2("description_html", 256).alias("description"), F.unix_micros("posted_at").alias("posted_us"))
 
 
 @query(
@@ -74,20 +88,20 @@ def parse_lever(spark, d):
 
 @query(
     f"SELECT {_C('id')} AS external_id, {_C('title')} AS title_raw, {_C('job_url')} AS url, CASE WHEN {_C('apply_url')} <> '' THEN apply_url ELSE {_C('job_url')} END AS apply_url, {_C('department')} AS department, {_C('employment_type')} AS employment_type_raw, {_C('location_name')} AS location_raw,"
-    f" coalesce(is_remote, false) AS remote_hint, {_C('compensation_tier_summary')} AS compensation_raw_text FROM ashby_job"
+    f" coalesce(is_remote, false) AS remote_hint, {_C('compensation_tier_summary')} AS compensation_raw_text, {_posted_sql(_C('published_at'))} AS posted_us FROM ashby_job"
 )
 def parse_ashby(spark, d):
     item = _named("id=id", "title=title", "department=department", "employmentType=employment_type", "location=location_name", "publishedAt=published_at", "isRemote=is_remote", "jobUrl=job_url", "applyUrl=apply_url", "descriptionPlain=description_plain", "compensation=struct(compensation_tier_summary AS scrapeableCompensationSalarySummary)")
-    return parse_pages(_pages(table(spark, d, "ashby_job"), "item_id", item, "jobs"), "ashby").select(*_OUT, "compensation_raw_text")
+    return parse_pages(_pages(table(spark, d, "ashby_job"), "item_id", item, "jobs"), "ashby").select(*_OUT, "compensation_raw_text", F.unix_micros("posted_at").alias("posted_us"))
 
 
 @query(
     f"SELECT {_C('shortcode')} AS external_id, {_C('title')} AS title_raw, {_C('url')} AS url, CASE WHEN {_C('application_url')} <> '' THEN application_url ELSE {_C('url')} END AS apply_url, {_C('department')} AS department, {_C('employment_type')} AS employment_type_raw,"
-    f" array_to_string(list_filter([{_C('city')}, {_C('region_name')}, {_C('country')}], lambda x: x <> ''), ', ') AS location_raw, coalesce(telecommute, false) AS remote_hint FROM workable_job"
+    f" array_to_string(list_filter([{_C('city')}, {_C('region_name')}, {_C('country')}], lambda x: x <> ''), ', ') AS location_raw, coalesce(telecommute, false) AS remote_hint, CASE WHEN regexp_matches(published_on, {_quoted(DAY)}) THEN epoch_us(TRY_CAST(published_on AS DATE)::TIMESTAMP) END AS posted_us FROM workable_job"
 )
 def parse_workable(spark, d):
     item = _named("title=title", "shortcode=shortcode", "employment_type=employment_type", "telecommute=telecommute", "department=department", "url=url", "application_url=application_url", "published_on=published_on", "country=country", "city=city", "state=region_name")
-    return parse_pages(_pages(table(spark, d, "workable_job"), "item_id", item, "jobs"), "workable").select(*_OUT)
+    return parse_pages(_pages(table(spark, d, "workable_job"), "item_id", item, "jobs"), "workable").select(*_OUT, F.unix_micros("posted_at").alias("posted_us"))
 
 
 def _of(adapter: str) -> str:
@@ -123,7 +137,7 @@ def parse_teamtailor(spark, d):
 def parse_workday(spark, d):
     item = _named("title=title_raw", "externalPath=concat('/job/', posting_id)", "locationsText=location_raw", "postedOn=CASE posting_id % 3 WHEN 0 THEN 'Posted Today' WHEN 1 THEN 'Posted Yesterday' ELSE 'Posted 30+ Days Ago' END", "bulletFields=CASE WHEN posting_id % 2 = 0 THEN array('Full', concat('R-', posting_id)) ELSE array('Full') END", "timeType=employment_type_raw")
     p = table(spark, d, "posting").where("adapter = 'workday'")
-    pages = _pages(p, "posting_id", item, "jobPostings").withColumn("site", F.lit("https://wd.example/site"))
+    pages = _pages(p, "posting_id", item, "jobPostings").withColumn("page_url", F.lit("https://wd.example/wday/cxs/tenant/site/jobs"))
     x = parse_pages(pages, "workday")
     return x.select(*_OUT, F.expr("(unix_micros(fetched_at) - unix_micros(posted_at)) div 86400000000").cast("int").alias("days"))
 
@@ -139,12 +153,12 @@ def validate_pages(spark, d):
     return x.groupBy("source_id", "page_no").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT DISTINCT source_id, item_id // 40 AS page_no FROM greenhouse_job WHERE (item_id // 40) % 5 = 0")
+@query("SELECT DISTINCT source_id, item_id // 40 AS page_no, 'not JSON' AS error, sha256('https://' || source_id || '.example/' || (item_id // 40)) AS url_hash FROM greenhouse_job WHERE (item_id // 40) % 5 = 0")
 def parse_errors(spark, d):
     """Every fifth page is cut short; it comes out as corrupt and gives no postings."""
-    pages = greenhouse_pages(spark, d)
+    pages = greenhouse_pages(spark, d).withColumn("page_url", F.concat(F.lit("https://"), "source_id", F.lit(".example/"), F.col("page_no").cast("string")))
     cut = pages.withColumn("body", F.when(F.col("page_no") % 5 == 0, F.expr("substring(body, 1, length(body) - 9)")).otherwise(F.col("body")))
-    return corrupt_pages(cut, "greenhouse").select("source_id", "page_no")
+    return corrupt_pages(cut, "greenhouse").select("source_id", "page_no", "error", "url_hash")
 
 
 _PROVIDER = "list_extract(['linkedin', 'indeed', 'glassdoor', 'handshake'], (posting_id % 4 + 1)::INTEGER)"

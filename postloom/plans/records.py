@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import payladder as L
 from postloom.functions import text as X
+from postloom.functions.similarity import jaro_winkler
 from postloom.functions.url import canonical_url, url_hash
 from postloom.operators import dedup as D
 from postloom.operators import queueing as U
@@ -248,6 +249,18 @@ def stage2_matches(spark, d):
     return _structural(spark, d)
 
 
+@query(
+    f"WITH n AS (SELECT p_brand, p_name, count(*)::BIGINT AS n FROM part GROUP BY ALL), pr AS (SELECT p_brand, a.p_name AS name_a, b.p_name AS name_b, a.n AS n_a, b.n AS n_b FROM n a JOIN n b USING (p_brand) WHERE a.p_name < b.p_name),"
+    f" tp AS (SELECT DISTINCT name_a AS ta, name_b AS tb FROM pr), {_JW} SELECT pr.* FROM pr JOIN jw ON ta = name_a AND tb = name_b WHERE s >= 0.85"
+)
+def jw_title_pairs(spark, d):
+    """Similar names within a brand: pairs of different names with the number of parts of each; parts of one name are one row."""
+    n = table(spark, d, "part").groupBy("p_brand", "p_name").agg(F.count(F.lit(1)).alias("n"))
+    x = n.select("p_brand", F.col("p_name").alias("name_a"), F.col("n").alias("n_a")).join(n.select("p_brand", F.col("p_name").alias("name_b"), F.col("n").alias("n_b")), "p_brand").where("name_a < name_b")
+    alike = x.select("name_a", "name_b").distinct().where(jaro_winkler("name_a", "name_b") >= 0.85)
+    return x.join(alike, ["name_a", "name_b"], "left_semi")
+
+
 @query(None)
 def stage2_groups(spark, d):
     """Groups of at most 25 after the structural merges, closest first, and the kept group of each posting."""

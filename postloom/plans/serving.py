@@ -268,11 +268,14 @@ def json_props_parse(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")).where("k > 50")
 
 
-@query("SELECT user_id, list(event_type || ':' || event_id ORDER BY ts, event_id) AS steps, count(*)::BIGINT AS n FROM events WHERE event_type <> 'view' GROUP BY user_id")
+@query("SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS hour, list(event_type || ':' || event_id ORDER BY value DESC, event_id)[1:10] AS top, count(*)::BIGINT AS n FROM events WHERE event_type <> 'view' GROUP BY ALL")
 def batch_collapse(spark, d):
-    """Events of a user as one ordered list."""
-    x = table(spark, d, "events").where("event_type <> 'view'").groupBy("user_id").agg(F.collect_list(F.struct("ts", "event_id", "event_type")).alias("e"))
-    return x.select("user_id", F.transform(F.array_sort("e"), lambda s: F.concat_ws(":", s["event_type"], s["event_id"])).alias("steps"), F.size("e").cast("bigint").alias("n"))
+    """What a user waits for in an hour as one message: the ten entries of the highest value in order, and how many there are; a hot hour keeps ten rows a task."""
+    x = table(spark, d, "events").where("event_type <> 'view'").select("user_id", F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("hour"), "value", "event_id", "event_type")
+    w = Window.partitionBy("user_id", "hour").orderBy(F.desc("value"), "event_id")
+    top = x.withColumn("r", F.row_number().over(w)).where("r <= 10").groupBy("user_id", "hour").agg(F.collect_list(F.struct("r", "event_type", "event_id")).alias("e"))
+    top = top.select("user_id", "hour", F.transform(F.array_sort("e"), lambda s: F.concat_ws(":", s["event_type"], s["event_id"])).alias("top"))
+    return top.join(x.groupBy("user_id", "hour").agg(F.count(F.lit(1)).alias("n")), ["user_id", "hour"])
 
 
 @query(

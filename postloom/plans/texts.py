@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions import text as X
-from postloom.functions.similarity import cosine, jaro_winkler
 from postloom.functions.url import FRAGMENT_HOSTS, SESSION, TRACKING, TWO_LABEL_SUFFIXES, canonical_url, registered_domain, url_hash
 from postloom.operators import dedup as D
 from postloom.operators import relational as R
@@ -275,6 +274,15 @@ def boilerplate_learn(spark, d):
     return D.learned_boilerplate(table(spark, d, "documents"), "board_token", "doc_id", "text", 0.2, 3)
 
 
+@query(
+    _LEARNED.replace("FROM documents WHERE board_token IS NOT NULL", "FROM recent").replace("WITH p AS", "WITH recent AS (SELECT * FROM documents WHERE board_token IS NOT NULL QUALIFY row_number() OVER (PARTITION BY board_token ORDER BY fetched_at DESC NULLS LAST, doc_id) <= 50), p AS").replace(">= 3)", ">= 5)").replace("* 0.2", "* 0.1")
+    + "SELECT board_token, h FROM l"
+)
+def boilerplate_recent(spark, d):
+    """Boilerplate of the last fifty documents of each board (the frame is the operation)."""
+    return D.learned_boilerplate(table(spark, d, "documents"), "board_token", "doc_id", "text", 0.1, 5, 50, [F.desc_nulls_last("fetched_at"), F.col("doc_id")])
+
+
 @query(
     _LEARNED
     + f", q AS (SELECT board_token, doc_id, unnest({_PARAS}) AS p, generate_subscripts({_PARAS}, 1) AS i FROM documents), k AS (SELECT q.* FROM q WHERE NOT ("
@@ -288,14 +296,6 @@ def strip_boilerplate(spark, d):
     return x.withColumn("stripped", F.sha2("stripped", 256))
 
 
-@query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE jaro_winkler_similarity(a.p_name, b.p_name) >= 0.85")
-def jw_title_pairs(spark, d):
-    """Similar names within a block of three keys: an equi-join, the similarity as its residual."""
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    x = p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"), "p_brand", "p_type", "p_size").join(p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("nb"), "p_brand", "p_type", "p_size"), ["p_brand", "p_type", "p_size"])
-    return x.where("a < b").where(jaro_winkler("na", "nb") >= 0.85).select("a", "b")
-
-
 @query(
     "WITH s AS (SELECT board_token, doc_id, 40 + CASE WHEN length(text) >= 1000 THEN 25 ELSE 0 END + CASE WHEN lang IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN n_chars IS NOT NULL THEN 10 ELSE 0 END AS score FROM documents)"
     " SELECT board_token, doc_id, score, n AS members FROM (SELECT *, count(*) OVER (PARTITION BY board_token)::BIGINT AS n, row_number() OVER (PARTITION BY board_token ORDER BY score DESC, doc_id) AS r FROM s) WHERE r = 1"
@@ -320,17 +320,19 @@ def cosine_topk(spark, d):
 )
 def nearest_exemplar(spark, d):
     e = table(spark, d, "embeddings")
-    ex = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).orderBy("label").toPandas()
+    ex = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).orderBy("label").limit(100_001).toPandas()  # refused beyond 100,000
     return R.nearest_exemplar(e, "vec_id", "embedding", ex, 0.3).withColumn("similarity", F.round("similarity", 4))
 
 
 @query(
-    f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 4) AS similarity, CASE WHEN {_COS} >= 0.5 THEN 'merge' WHEN {_COS} < 0.2 THEN 'distinct' ELSE 'review' END AS band FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
+    f"WITH t AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 50)"
+    " SELECT a, b, round(s, 4) AS similarity, CASE WHEN s >= 0.5 THEN 'merge' WHEN s < 0.2 THEN 'distinct' ELSE 'review' END AS band FROM t"
 )
 def semantic_bands(spark, d):
+    """Bands of the fifty nearest vectors of each stated query (ids divisible by 100), searched among all."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    x = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea")).join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb")), F.col("b") == F.col("a") + 1)
-    return R.semantic_bands(x, "ea", "eb", 0.5, 0.2).select("a", "b", F.round("similarity", 4).alias("similarity"), "band")
+    x = R.cosine_topk(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 50)
+    return R.bands(x, 0.5, 0.2).select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.round("similarity", 4).alias("similarity"), "band")
 
 
 @query(
@@ -338,7 +340,7 @@ def semantic_bands(spark, d):
     " SELECT least(q, i) AS a, greatest(q, i) AS b, round(max(s), 4) AS similarity, CASE WHEN max(s) >= 0.5 THEN 'merge' WHEN max(s) < 0.2 THEN 'distinct' ELSE 'review' END AS band FROM t GROUP BY least(q, i), greatest(q, i)"
 )
 def semantic_candidate_bands(spark, d):
-    """Bands of real candidates: each vector with its ten nearest, whatever their ids (semantic_bands has neighbouring ids alone)."""
+    """Bands of real candidates: each vector with its ten nearest, whatever their ids (``semantic_bands`` has those of stated queries)."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     x = R.cosine_topk(e, e, "vec_id", "embedding", 10)
     x = x.groupBy(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).agg(F.max("similarity").alias("similarity"))

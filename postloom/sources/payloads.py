@@ -34,8 +34,20 @@ def _join(sep: str, *cols: Column) -> Column:
     return F.array_join(F.filter(F.array(*cols), lambda x: x != ""), sep)
 
 
-def _time(c: Column) -> Column:
-    return F.try_to_timestamp(F.nullif(c, F.lit("")))
+# The notations of moments and days in payloads, and the address of a search page whose postings live beside it.
+RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
+DAY = r"^\d{4}-\d{2}-\d{2}$"
+SEARCH_PAGE = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)/wday/cxs/[^/?#]+/([^/?#]+)/jobs(?:[?#].*)?$"
+
+
+def _time(c: Column, pattern: str = RFC3339) -> Column:
+    """The moment of a text in exactly this notation, NULL for others and for impossible dates."""
+    return F.when(c.rlike(pattern), F.try_to_timestamp(c))
+
+
+def site_base(page_url: Column) -> Column:
+    """Where the postings of a search page live; NULL for other addresses."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(page_url, SEARCH_PAGE, 0), SEARCH_PAGE, "$1/$2"), F.lit(""))
 
 
 @dataclass(frozen=True)
@@ -76,7 +88,7 @@ def _ashby() -> dict[str, Column]:
 def _workable() -> dict[str, Column]:
     return {
         "external_id": _s("i.shortcode"), "title_raw": _s("i.title"), "url": _s("i.url"), "apply_url": _first(_s("i.application_url"), _s("i.url")), "department": _s("i.department"), "employment_type_raw": _s("i.employment_type"),
-        "location_raw": _join(", ", _s("i.city"), _s("i.state"), _s("i.country")), "remote_hint": F.coalesce(F.col("i.telecommute"), F.lit(False)), "posted_at": _time(_s("i.published_on")), "posted_at_estimated": F.lit(False),
+        "location_raw": _join(", ", _s("i.city"), _s("i.state"), _s("i.country")), "remote_hint": F.coalesce(F.col("i.telecommute"), F.lit(False)), "posted_at": _time(_s("i.published_on"), DAY), "posted_at_estimated": F.lit(False),
     }
 
 
@@ -142,15 +154,19 @@ def _parsed(pages: DataFrame, board: str) -> DataFrame:
 
 
 def corrupt_pages(pages: DataFrame, board: str) -> DataFrame:
-    """Pages whose body isn't JSON of the board's shape, with hashes of the body."""
-    return _parsed(pages, board).where("_items IS NULL").select(*pages.columns, F.sha2(F.coalesce("body", F.lit("")), 256).alias("body_hash"))
+    """Pages whose body isn't JSON of the board's shape: what is wrong, and hashes of the body and, where there is a ``page_url``, of the address."""
+    wrong = F.when(F.trim(F.coalesce("body", F.lit(""))) == "", "empty body").when(F.try_parse_json("body").isNull(), "not JSON").otherwise("another shape")
+    hashes = [F.sha2(F.coalesce("body", F.lit("")), 256).alias("body_hash")]
+    if "page_url" in pages.columns:
+        hashes.append(F.sha2(F.coalesce("page_url", F.lit("")), 256).alias("url_hash"))
+    return _parsed(pages, board).where("_items IS NULL").select(*pages.columns, wrong.alias("error"), *hashes)
 
 
 def parse_pages(pages: DataFrame, board: str) -> DataFrame:
     """Postings of the pages, one row per item, with the page's other columns. Empty pages and corrupt ones give none."""
     b = BOARDS[board]
     if "site" not in pages.columns:
-        pages = pages.withColumn("site", F.lit(None).cast("string"))
+        pages = pages.withColumn("site", site_base(F.col("page_url")) if "page_url" in pages.columns else F.lit(None).cast("string"))
     x = _parsed(pages, board).select(*[c for c in pages.columns if c != "body"], F.posexplode("_items").alias("item_no", "i"))
     if b.keep:
         x = x.where(b.keep)

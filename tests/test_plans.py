@@ -42,9 +42,9 @@ def test_semantic_candidates_are_not_neighbouring_ids(spark, tmp_path):
 
 
 def test_listed_names_are_never_dropped(spark):
+    """All names come, however many: they are a table."""
     from postloom.plans.cleaning import listed_names
 
-    names = listed_names(spark, DIR)
-    assert len(names) > 1 and listed_names(spark, DIR, bound=len(names)) == names
-    with pytest.raises(ValueError, match="names with a separating word"):
-        listed_names(spark, DIR, bound=len(names) - 1)
+    ref = spark.read.parquet(f"{DIR}/location_ref.parquet").collect()
+    want = {n for r in ref for n in [r["canonical"], *(r["aliases"] or [])]}
+    assert {r["name"] for r in listed_names(spark, DIR).collect()} == want and any(" and " in n for n in want)
