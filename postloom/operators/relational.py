@@ -356,9 +356,14 @@ def bands(x: DataFrame, merge: float = 0.94, distinct: float = 0.88) -> DataFram
     return x.withColumn("band", F.when(F.col("similarity") >= merge, "merge").when(F.col("similarity") < distinct, "distinct").otherwise("review"))
 
 
-def against_last_passing(runs: DataFrame, order: str, score: str, gate: float, keys: list[str], fall: float = 0.03) -> DataFrame:
-    """``runs`` with ``passed``, the score of the last passing run of the same ``keys`` (a suite) before, and ``regressed``: more than ``fall`` below it."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def against_last_passing(runs: DataFrame, order: str, score: str, gate: float, fall: float = 0.03, keys: list[str] | None = None, bound: int = 1_000_000) -> DataFrame:
+    """``runs`` with ``passed``, the score of the last passing run of the same ``keys`` (a suite) before, and ``regressed``: more than ``fall`` below it.
+
+    Without ``keys`` the runs are one series, which one task sorts: more than ``bound`` of them are refused.
+    """
+    if not keys and runs.limit(bound + 1).count() > bound:
+        raise ValueError(f"more than {bound} runs in one series: give keys")
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     x = runs.withColumn("passed", F.col(score) >= gate)
     x = x.withColumn("last_passing", F.last(F.when(F.col("passed"), F.col(score)), ignorenulls=True).over(w))
     return x.withColumn("regressed", F.coalesce(F.col("last_passing") - F.col(score) > fall, F.lit(False)))

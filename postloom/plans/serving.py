@@ -301,7 +301,7 @@ def eval_prf1(spark, d):
 def eval_regression(spark, d):
     """Daily scores against the last day that passed the gate."""
     runs = table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(F.avg("value"), 4).alias("score"))
-    return R.against_last_passing(runs.withColumn("suite", F.lit("daily")), "day", "score", 15.0, ["suite"]).drop("suite")
+    return R.against_last_passing(runs.withColumn("suite", F.lit("daily")), "day", "score", 15.0, keys=["suite"]).drop("suite")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 600 IN (401, 403) THEN 'quarantine' WHEN event_id % 600 = 404 THEN 'not_found' WHEN event_id % 600 = 429 THEN 'rate_limited' ELSE 'normal' END AS action FROM events")
