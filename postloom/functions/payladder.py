@@ -42,32 +42,48 @@ def parse_pay(text: Column, strict: bool = False) -> Column:
     alone, and trusts a single amount without period (0.75) more than one without currency (0.60). ``strict`` asks a range for a currency, a multiplier or
     a period, and a number for a leading digit. Amounts of other currencies than the rupee aren't converted.
     """
-    t = F.trim(F.coalesce(text, F.lit("")))
     own = NUMBER if not strict else r"\d[\d,]*(?:\.\d+)?"
     rng, one = RANGE.replace(NUMBER, own), SINGLE.replace(NUMBER, own)
-    part = lambda p, i: F.regexp_extract(t, p, i)
-    currency = F.when(t.rlike(RUPEES), "INR").when(t.rlike(DOLLARS), "USD").otherwise("")
-    period = F.lit("")
-    for name, p in reversed(PERIODS):
-        period = F.when(t.rlike(p), name).otherwise(period)
-    lo, hi = scaled_number(part(rng, 1), part(rng, 2)), scaled_number(part(rng, 3), part(rng, 4))
-    ranged = lo.isNotNull() & hi.isNotNull()
-    if strict:
-        ranged = ranged & ((currency != "") | (period != "") | (part(rng, 2) != "") | (part(rng, 4) != ""))
-    v = scaled_number(part(one, 2), part(one, 3))
-    row = lambda a, b, c, p, k, paid: F.struct(
-        a.alias("comp_min"), b.alias("comp_max"), c.alias("currency"), p.alias("period"), F.lit(k).cast("double").alias("confidence") if not isinstance(k, Column) else k.alias("confidence"),
-        F.when(c == "INR", per_month(a, p)).alias("inr_month"), F.lit(paid).alias("paid"),
-    )
     none, blank = F.lit(None).cast("double"), F.lit("")
-    single = row(
-        v, none, F.when(currency == "", "INR").otherwise(currency), F.when(period == "", "month").otherwise(period),
-        F.when(period == "", 0.75).when(currency == "", 0.60).otherwise(0.90), "paid",
-    )
-    return (
-        F.when(ranged, row(lo, hi, currency, period, 0.95, "paid"))
-        .when(v.isNotNull(), single)
-        .when(t.rlike(UNPAID), row(none, none, blank, blank, 0.0, "unpaid"))
-        .when(t.rlike(VAGUE), row(none, none, blank, blank, 0.50, "paid"))
-        .otherwise(row(none, none, blank, blank, 0.0, "unknown"))
-    )
+
+    def read(t: Column) -> Column:
+        """Each pattern runs once; the matches are taken apart by themselves."""
+        period = blank
+        for name, p in reversed(PERIODS):
+            period = F.when(t.rlike(p), name).otherwise(period)
+        groups = lambda p, n: F.split(F.regexp_replace(F.regexp_extract(t, p, 0), "(?i)^(?:" + p.removeprefix("(?i)") + ")$", "|".join(f"${i}" for i in range(1, n + 1))), r"\|", -1)
+        return F.struct(
+            groups(rng, 4).alias("r"), groups(one, 4).alias("s"), F.when(t.rlike(RUPEES), "INR").when(t.rlike(DOLLARS), "USD").otherwise("").alias("cur"),
+            period.alias("per"), t.rlike(UNPAID).alias("unpaid"), t.rlike(VAGUE).alias("vague"),
+        )
+
+    def numbers(x: Column) -> Column:
+        r, s = (lambda i: F.get(x["r"], F.lit(i))), (lambda i: F.get(x["s"], F.lit(i)))
+        lo, hi = scaled_number(r(0), r(1)), scaled_number(r(2), r(3))
+        ranged = lo.isNotNull() & hi.isNotNull()
+        if strict:
+            ranged = ranged & ((x["cur"] != "") | (x["per"] != "") | (r(1) != "") | (r(3) != ""))
+        return F.struct(lo.alias("lo"), hi.alias("hi"), F.coalesce(ranged, F.lit(False)).alias("ranged"), scaled_number(s(1), s(2)).alias("v"), *[x[c].alias(c) for c in ("cur", "per", "unpaid", "vague")])
+
+    def decide(x: Column) -> Column:
+        cur, per = x["cur"], x["per"]
+        row = lambda a, b, c, p, k, paid: F.struct(
+            a.alias("comp_min"), b.alias("comp_max"), c.alias("currency"), p.alias("period"), (k if isinstance(k, Column) else F.lit(k).cast("double")).alias("confidence"),
+            F.when(c == "INR", per_month(a, p)).alias("inr_month"), F.lit(paid).alias("paid"),
+        )
+        single = row(
+            x["v"], none, F.when(cur == "", "INR").otherwise(cur), F.when(per == "", "month").otherwise(per),
+            F.when(per == "", 0.75).when(cur == "", 0.60).otherwise(0.90), "paid",
+        )
+        return (
+            F.when(x["ranged"], row(x["lo"], x["hi"], cur, per, 0.95, "paid"))
+            .when(x["v"].isNotNull(), single)
+            .when(x["unpaid"], row(none, none, blank, blank, 0.0, "unpaid"))
+            .when(x["vague"], row(none, none, blank, blank, 0.50, "paid"))
+            .otherwise(row(none, none, blank, blank, 0.0, "unknown"))
+        )
+
+    out = F.array(F.trim(F.coalesce(text, F.lit(""))))
+    for step in (read, numbers, decide):  # lambdas over one element: what a step gives is computed once
+        out = F.transform(out, step)
+    return out[0]

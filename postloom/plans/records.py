@@ -61,7 +61,8 @@ pay AS (SELECT {key}, comp_min, comp_max, currency, period, confidence, round(CA
 
 def _pay(spark: SparkSession, d: str) -> DataFrame:
     text = F.coalesce(F.nullif(F.col("compensation_raw_text"), F.lit("")), F.col("description_text"))
-    x = table(spark, d, "posting").select("posting_id", L.parse_pay(text).alias("p")).select("posting_id", "p.*")
+    p = spread_table(spark, d, "posting", "posting_id", "compensation_raw_text", "description_text")
+    x = p.select("posting_id", L.parse_pay(text).alias("p")).select("posting_id", "p.*")
     return x.withColumn("inr_month", F.round("inr_month", 4))
 
 
@@ -154,7 +155,9 @@ _NORM_TITLE = T._squeeze_sql(T._TITLE)
 )
 def normalized_record(spark, d):
     """All scalar steps in one projection, with the fallbacks of a record: text from markup, pay from the text, the apply address from the address."""
-    p = table(spark, d, "posting")
+    p = spread_table(
+        spark, d, "posting", "posting_id", "url", "apply_url", "title_raw", "description_text", "description_html", "requirements_text", "employment_type_raw", "compensation_raw_text"
+    )
     desc = F.coalesce(F.nullif(F.col("description_text"), F.lit("")), X.strip_html(F.col("description_html")))
     pay = L.parse_pay(F.coalesce(F.nullif(F.col("compensation_raw_text"), F.lit("")), desc))
     x = p.select(

@@ -100,7 +100,7 @@ _PARTS = (
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "posting")
+    p = spread_table(spark, d, "posting", "posting_id", "title_raw", "description_text", "requirements_text", "deadline_at", "posted_at")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     now = F.unix_micros(F.lit(P.NOW).cast("timestamp"))
     left = (micros("deadline_at") - now) / 86400e6
