@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from postloom.llm.leak import ItemIndex, edits_within, leaked_items, prefix_within
@@ -18,6 +19,14 @@ from postloom.llm.split_text import boundaries, cores, pieces, split_oversized
 from postloom.llm.tokenizer import VOCABULARY, load
 from postloom.llm.wordhash import shingle_sets, word_hashes
 
+class ListParam(AccumulatorParam):
+    def zero(self, value):
+        return []
+
+    def addInPlace(self, a, b):
+        return a + b
+
+
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
 W = lambda s: re.findall("[a-z0-9]+", (s or "").lower())
 
@@ -79,6 +88,39 @@ def test_a_third_of_all_rows_alike(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_no_task_gets_a_hot_node(spark, monkeypatch):
+    """A third of all rows share a boilerplate: no run of equal keys that is compared is longer than a small node or two blocks."""
+    from postloom.llm import near_dup as N
+
+    r = random.Random(6)
+    vocab = [f"w{i}" for i in range(3000)]
+    boiler = [f"b{i}" for i in range(60)]
+    texts = [" ".join(boiler + [r.choice(vocab) for _ in range(50)]) for _ in range(400)] + [" ".join(r.choice(vocab) for _ in range(110)) for _ in range(800)]
+    texts += [t + " again" for t in texts[:40]]
+    df = spark.createDataFrame(list(enumerate(texts)), "n bigint, t string")
+    seen = spark.sparkContext.accumulator([], ListParam())
+    plain = N._compare
+
+    def watched(least, sided=False):
+        run = plain(least, sided)
+
+        def counted(batches):
+            held = list(batches)
+            ks = np.concatenate([b.column(0).to_numpy() for b in held]) if held else np.zeros(0)
+            seen.add([(sided, int(np.unique(ks, return_counts=True)[1].max()))] if len(ks) else [])
+            yield from run(iter(held))
+
+        return counted
+
+    monkeypatch.setattr(N, "_compare", watched)
+    sigs = df.select(F.col("n").alias("id"), F.col("t").alias("text")).mapInArrow(N._features(3, False), "id bigint, f1 bigint, f2 bigint, sig binary").select("id", "sig")
+    pairs = {tuple(x) for x in N.candidate_pairs(sigs, leaf=32, block=64, least=44).collect()}
+    assert {(i, 1200 + i) for i in range(40)} <= pairs
+    runs = seen.value
+    assert max(n for sided, n in runs if not sided) <= 32
+    assert all(n <= 3 * 64 for sided, n in runs if sided)
+
+
 @pytest.mark.parametrize("leaf", [256, 1])
 def test_recall_at_the_threshold(spark, leaf):
     """Pairs of exactly 0.5 are found wherever their nodes end: at the first depth, or at the last as in a much larger table."""
